@@ -58,5 +58,10 @@ def _latest(spark: SparkSession, target: str) -> tuple[int, str | None]:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Write a warehouse table as CSV text with a header row."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """Write a table as CSV text with a header row.
+
+    Outer spaces are kept. An empty string reads back as NULL, and a value
+    with a line break needs a reader that allows records of several lines.
+    """
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.option("header", True).option("escape", '"').options(**keep_spaces).csv(path)

@@ -22,7 +22,7 @@ def _rows(table, columns):
 def difference(df, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """What differs between the two results, or None."""
     ours = df.toArrow()
-    theirs = connection.execute(sql).to_arrow_table()
+    theirs = connection.sql(sql).to_arrow_table()
     if sorted(ours.column_names) != sorted(theirs.column_names):
         return f"columns {ours.column_names} against {theirs.column_names}"
     columns = sorted(ours.column_names)
