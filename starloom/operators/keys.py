@@ -29,8 +29,10 @@ def add_surrogate_key(
 
     ``key`` must be unique in ``df``. ``dense`` numbers the keys 1..N in
     ascending order, NULL last, and writes the table to ``path`` (a new
-    scratch path by default). ``packed`` stays lazy, leaves gaps, and holds
-    one N/buckets share of the keys in a task, so raise ``buckets`` with N.
+    scratch path by default); Spark places its range bounds by a sample of the
+    keys on the driver, so keys should be ids rather than long texts.
+    ``packed`` stays lazy, leaves gaps, and holds one N/buckets share of the
+    keys in a task, so raise ``buckets`` with N.
     """
     if layout == "dense":
         return _dense(df, key, out, path or new_scratch(df.sparkSession))

@@ -20,11 +20,12 @@ def lookup_key(df: DataFrame, dim: DataFrame, natural: str, surrogate: str) -> D
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """One row: child keys without a parent, and the child rows they hold.
 
-    NULL keys are not orphans. The child is counted per key before the join,
-    so a hot key is one row by then.
+    NULL keys are not orphans. Both sides have one row per key before they
+    meet, so neither a hot child key nor a much repeated parent piles up.
     """
     keys = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("k")).agg(F.count("*").alias("n"))
-    return keys.join(parent.select(F.col(parent_key).alias("k")), "k", "left_anti").agg(
+    known = parent.select(F.col(parent_key).alias("k")).distinct()
+    return keys.join(known, "k", "left_anti").agg(
         F.count("*").alias("orphan_keys"),
         F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("orphan_rows"),
     )

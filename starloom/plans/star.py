@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from starloom.functions import cast_measures, parse_purchase_timestamps
 from starloom.operators import freeze
@@ -20,7 +18,7 @@ from starloom.plans.dimensions import (
 )
 from starloom.plans.fact import build_fact
 from starloom.plans.quality import quality_checks
-from starloom.session import new_scratch
+from starloom.session import new_scratch, side_by_side
 
 # Dimensions first, so that a foreign key always finds its member.
 STAR_TABLES = ("dim_customers", "dim_products", "dim_sellers", "dim_date", "fact_order_items")
@@ -74,14 +72,8 @@ def build_star(
         "dim_sellers": (build_dim_sellers, sources["sellers"], {}),
         "dim_date": (build_dim_date, sold_dates(items, orders), {"keep_null_member": keep_null_date}),
     }
-    dims = _side_by_side(
+    dims = side_by_side(
         spark, {name: lambda n=name, j=job: written(n, j[0], j[1], **j[2]) for name, job in jobs.items()}
     )
     fact = build_fact(items, orders, **dims)
     return Star(**dims, fact_order_items=fact, quality_checks=quality_checks(fact), scratch=scratch)
-
-
-def _side_by_side(spark: SparkSession, jobs: dict) -> dict:
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        started = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
-        return {name: future.result() for name, future in started.items()}

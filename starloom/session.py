@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
@@ -19,6 +22,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash instead of sort where every partition of one side proved this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Keys the driver sees per range partition when dense keys are placed.
+    "spark.sql.execution.rangeExchange.sampleSizePerPartition": "20",
 }
 
 # About half of the raw bytes cross a shuffle, so this keeps a partition near
@@ -94,5 +101,19 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one scratch path made by :func:`new_scratch`."""
     if "/starloom/" not in path:
         raise ValueError(f"not a scratch path: {path}")
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def side_by_side(spark: SparkSession, jobs: dict[str, Callable]) -> dict:
+    """Run jobs that do not depend on one another at the same time.
+
+    Small jobs leave most of a cluster idle; together they fill it.
+    """
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        started = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in started.items()}

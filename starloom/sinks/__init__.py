@@ -1,9 +1,10 @@
 """Publishing the star."""
 
-from starloom.sinks.files import export_csv, publish_parquet, published_versions, read_published
+from starloom.sinks.files import expire_published, export_csv, publish_parquet, published_versions, read_published
 from starloom.sinks.jdbc import jdbc_options, publish_jdbc
 
 __all__ = [
+    "expire_published",
     "export_csv",
     "jdbc_options",
     "publish_jdbc",

@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starloom.operators import freeze
 from starloom.plans.quality import quality_checks, quality_findings
 from starloom.plans.star import STAR_TABLES
+from starloom.session import delete_folder, side_by_side
 
 VERSION_SCHEMA = "version bigint, run string"
 
@@ -24,15 +27,18 @@ def publish_parquet(tables: dict[str, DataFrame], target: str, gate: str = "warn
     Dimensions are written first and the fact last, into a folder of their
     own. The checks run on the written fact. Only then is the version listed,
     by one small file: readers see the old star or the new one, never a mix,
-    and a run that fails or is stopped by the gate changes nothing for them.
+    and a run that fails or is stopped by the gate leaves nothing behind.
     """
     spark = tables["fact_order_items"].sparkSession
     run = uuid.uuid4().hex
-    for name in STAR_TABLES:
-        tables[name].write.parquet(f"{target}/runs/{run}/{name}")
-    fact = tables["fact_order_items"]
-    written = spark.read.schema(fact.schema).parquet(f"{target}/runs/{run}/fact_order_items")
-    quality_findings(quality_checks(written), gate)
+    paths = {name: f"{target}/runs/{run}/{name}" for name in STAR_TABLES}
+    *dims, fact = STAR_TABLES
+    try:
+        side_by_side(spark, {name: lambda name=name: tables[name].write.parquet(paths[name]) for name in dims})
+        quality_findings(quality_checks(freeze(tables[fact], paths[fact])), gate)
+    except Exception:
+        delete_folder(spark, f"{target}/runs/{run}")
+        raise
     version = 1 + _latest(spark, target)[0]
     spark.createDataFrame([(version, run)], VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{target}/versions")
     return version
@@ -46,6 +52,20 @@ def read_published(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{target}/runs/{run}/{name}") for name in STAR_TABLES}
 
 
+def expire_published(spark: SparkSession, target: str, keep: int = 2) -> int:
+    """Delete the files of all but the last ``keep`` versions.
+
+    Keep more than one while readers may still be on an older version.
+    """
+    if keep < 1:
+        raise ValueError("the current version cannot be expired")
+    last = _latest(spark, target)[0]
+    old = published_versions(spark, target).where(F.col("version") <= last - keep).collect()
+    for version in old:
+        delete_folder(spark, f"{target}/runs/{version.run}")
+    return len(old)
+
+
 def _latest(spark: SparkSession, target: str) -> tuple[int, str | None]:
     try:
         versions = published_versions(spark, target)

@@ -238,6 +238,8 @@ CHECKS: dict[str, str] = {
     "surrogate_key_dense": 'SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS "OrderKey" FROM orders',
     "surrogate_key_string": 'SELECT text, row_number() OVER (ORDER BY text) AS "TextKey" '
     "FROM (SELECT DISTINCT text FROM documents)",
+    "surrogate_key_hex": 'SELECT order_id, row_number() OVER (ORDER BY order_id) AS "OrderKey" '
+    "FROM (SELECT md5(o_orderkey::varchar) AS order_id FROM orders)",
     "surrogate_key_packed": "WITH " + _murmur3_of_bigint("orders", "o_orderkey") + ",\n"
     "buckets AS (SELECT key, (((h % 200) + 200) % 200)::bigint AS bucket FROM hashed)\n"
     "SELECT key AS o_orderkey, bucket * 8589934592 + row_number() OVER (PARTITION BY bucket ORDER BY key) "

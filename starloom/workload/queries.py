@@ -159,6 +159,12 @@ def surrogate_key_string(spark, sf_dir):
     return add_surrogate_key(bench_table(spark, sf_dir, "documents").select("text").distinct(), "text", "TextKey")
 
 
+@query("surrogate_key_hex")
+def surrogate_key_hex(spark, sf_dir):
+    ids = bench_table(spark, sf_dir, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("order_id"))
+    return add_surrogate_key(ids, "order_id", "OrderKey")
+
+
 @query("surrogate_key_packed")
 def surrogate_key_packed(spark, sf_dir):
     orders = bench_table(spark, sf_dir, "orders").select("o_orderkey")

@@ -14,6 +14,9 @@ from starloom.sources.bench_tables import raw_tables
 from starloom.workload import QUERIES
 
 
+SPLIT_JOIN = r"(SortMergeJoin|ShuffledHashJoin)\(skew=true\)"
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -58,18 +61,20 @@ def hot(spark):
     return raw
 
 
-def test_hot_keys_are_split_in_every_shuffled_join(spark, no_broadcast, hot):
+@pytest.mark.parametrize("hash_below", ["0", "64MB"])
+def test_hot_keys_are_split_in_every_shuffled_join(spark, conf, no_broadcast, hot, hash_below):
+    conf(spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=hash_below)
     star = build_star(hot)
     plan = final_plan(star.fact_order_items)
     assert "Broadcast" not in plan
     for key in ("order_id", "product_id", "customer_id"):
-        assert re.search(rf"SortMergeJoin\(skew=true\) \[{key}#", plan), plan
+        assert re.search(rf"{SPLIT_JOIN} \[{key}#", plan), plan
 
 
 def test_hot_order_is_split_below_the_checks_and_rollups(spark, no_broadcast, hot):
     star = build_star(hot)
     for df in (quality_checks(star.fact_order_items), marts.status_mix(star.fact_order_items)):
-        assert "SortMergeJoin(skew=true)" in final_plan(df)
+        assert re.search(SPLIT_JOIN, final_plan(df))
 
 
 def test_hot_data_gives_the_same_fact_as_broadcast_joins(spark, conf, no_broadcast, hot):

@@ -7,7 +7,15 @@ from starloom.plans import build_star
 from starloom.plans.quality import QualityError
 from starloom.plans.star import STAR_TABLES
 from starloom.session import new_scratch, widen_shuffle
-from starloom.sinks import export_csv, jdbc, jdbc_options, publish_parquet, published_versions, read_published
+from starloom.sinks import (
+    expire_published,
+    export_csv,
+    jdbc,
+    jdbc_options,
+    publish_parquet,
+    published_versions,
+    read_published,
+)
 from starloom.sources import SOURCE_SCHEMAS, load_counts, load_sources, scan_csv
 
 
@@ -67,6 +75,14 @@ def test_raw_tables_load_from_a_folder(spark, tmp_path, sources, fmt):
             assert sorted(map(repr, loaded[name].collect())) == sorted(map(repr, df.collect()))
 
 
+def test_star_from_inferred_types(spark, tmp_path, sources):
+    for name, df in sources.items():
+        export_csv(df, f"{tmp_path}/{name}.csv")
+    star = build_star(load_sources(spark, str(tmp_path), infer_schema=True))
+    assert star.fact_order_items.count() == 7 and dict(star.fact_order_items.dtypes)["price"] == "double"
+    assert {r[0] for r in star.dim_sellers.select("seller_zip_code_prefix").collect()} == {4123, 92420}
+
+
 def test_publish_replaces_the_star_as_a_whole(spark, tmp_path, sources):
     target = str(tmp_path / "dwh")
     star = build_star(sources)
@@ -80,12 +96,25 @@ def test_publish_replaces_the_star_as_a_whole(spark, tmp_path, sources):
     assert published_versions(spark, target).count() == 2
 
 
+def test_old_versions_are_deleted_on_request(spark, tmp_path, sources):
+    target = str(tmp_path / "dwh")
+    tables = build_star(sources).tables()
+    for version in (1, 2, 3):
+        assert publish_parquet(tables, target) == version
+    assert expire_published(spark, target, keep=2) == 1
+    assert len(list((tmp_path / "dwh" / "runs").iterdir())) == 2
+    assert read_published(spark, target)["fact_order_items"].count() == 7
+    with pytest.raises(ValueError, match="current"):
+        expire_published(spark, target, keep=0)
+
+
 def test_a_closed_gate_leaves_the_published_star_alone(spark, tmp_path, sources):
     target = str(tmp_path / "dwh")
     clean = {**sources, "order_items": sources["order_items"].where("order_id = 'o1'")}
     publish_parquet(build_star(clean).tables(), target, gate="fail")
     with pytest.raises(QualityError):
         publish_parquet(build_star(sources).tables(), target, gate="fail")
+    assert len(list((tmp_path / "dwh" / "runs").iterdir())) == 1
     assert read_published(spark, target)["fact_order_items"].count() == 2
     with pytest.raises(ValueError, match="nothing is published"):
         read_published(spark, str(tmp_path / "other"))

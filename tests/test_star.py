@@ -126,6 +126,12 @@ def test_dedup_orders_nulls_first_and_keeps_the_null_key(spark):
     assert rows(dedup_natural_key(df.select("k"), "k")) == sorted([("a",), (None,)], key=repr)
 
 
+def test_join_column_appears_once_and_first(spark):
+    items = spark.createDataFrame([(1, "o1")], "order_item_id int, order_id string")
+    orders = spark.createDataFrame([("new", "o1")], "order_status string, order_id string")
+    assert items.join(orders, "order_id").columns == ["order_id", "order_item_id", "order_status"]
+
+
 def test_orphans_count_keys_and_rows_but_not_nulls(spark):
     child = spark.createDataFrame([("a",), ("x",), ("x",), ("y",), (None,)], "k string")
     parent = spark.createDataFrame([("a",), (None,)], "id string")
