@@ -40,7 +40,8 @@ def publish_parquet(tables: dict[str, DataFrame], target: str, gate: str = "warn
         delete_folder(spark, f"{target}/runs/{run}")
         raise
     version = 1 + _latest(spark, target)[0]
-    spark.createDataFrame([(version, run)], VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{target}/versions")
+    entry = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(run).alias("run"))
+    entry.coalesce(1).write.mode("append").json(f"{target}/versions")
     return version
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from starloom.plans import (
     marts,
 )
 from starloom.plans.dimensions import sold_dates
-from starloom.session import new_scratch, tune
+from starloom.session import new_scratch, tune, widen_shuffle
 from starloom.sinks import export_csv, publish_parquet, read_published
 from starloom.sources import SOURCE_SCHEMAS, load_counts, scan_csv
 from starloom.sources.bench_tables import bench_table, raw_tables
@@ -36,11 +36,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+@lru_cache
+def _widened(spark: SparkSession, sf_dir: str) -> int:
+    """Fit the shuffle width to the large tables, once per session and folder."""
+    return widen_shuffle(spark, {name: bench_table(spark, sf_dir, name) for name in ("lineitem", "orders", "documents")})
+
+
 def query(name: str) -> Callable[[Query], Query]:
     """Register a function under ``name``, to be run in a tuned session."""
 
     def register(function: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            _widened(spark, sf_dir)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         return function
 
     return register
