@@ -125,13 +125,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * shift)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of words before it."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~SPACE[data]
+    inside[:-1] = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    starts = np.flatnonzero(inside[:-1] & (first[:-1] | ~np.concatenate(([False], inside[:-2]))))
+    starts = np.flatnonzero(inside[:-1] & (first[:-1] | ~np.concatenate(([False], inside[: len(data)][:-1]))[: len(data)]))
     ends = np.flatnonzero(inside[:-1] & (first[1:] | ~inside[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starloom.llm.common import table
+from starloom.llm.packing import pack_documents
+from starloom.llm.quality import judge_quality
 from starloom.llm.sharding import shard_documents
+from starloom.llm.toxicity import score_toxicity, train_toxicity
 from starloom.llm.url_filter import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +35,44 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+def packing_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    signals = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *signals, "base_failed", "kept", "ratio")
+
+
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    pieces = pack_documents(table(spark, sf_dir, "documents"), packing_tokenizer())
+    place = ("doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), *place)
+
+
 @query("op6_url_filter")
 def op6_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = train_toxicity(docs, labels.where(~held_out))
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
