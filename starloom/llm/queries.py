@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import table
+from starloom.llm.ngram_join import Jaccard, ngram_components
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import judge_quality
 from starloom.llm.sharding import shard_documents
@@ -41,6 +42,11 @@ def packing_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents"), Jaccard(words=3, up=90, down=100))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
