@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import components, written
+from starloom.llm.common import Forest, components, written
 
 # Weight (shingles, characters) that one task joins at once.
 BLOCK_WEIGHT = 2_000_000
@@ -42,8 +42,10 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(pending)
 
 
-def near_clusters(items: Iterator[tuple], near: Callable[[object, object], int]) -> Iterator[tuple[int, int]]:
-    """Edges that connect all items of a run that might link.
+def near_clusters(
+    items: Iterator[tuple], near: Callable[[object, object], int], known: Forest
+) -> Iterator[tuple[int, int]]:
+    """Edges that connect all items of a run that might link, but for what ``known`` connects.
 
     items: (node, sketch). near: 2 if the sketches allow a link, 1 if both may
     link to a third, 0 if neither, -1 if the first is of no further use. Items
@@ -55,12 +57,10 @@ def near_clusters(items: Iterator[tuple], near: Callable[[object, object], int])
         joined, stale = False, False
         for leader in leaders:
             how = near(leader[1], item[1])
-            if how == 2:
-                yield leader[0], item[0]
-                joined = True
-            elif how == 1:
-                yield leader[0], item[0]
+            joined |= how == 2
             stale |= how < 0
+            if how > 0 and known.union(leader[0], item[0]):
+                yield leader[0], item[0]
         if stale:
             leaders = [x for x in leaders if near(x[1], item[1]) >= 0]
         if not joined:

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import LOWER, column_bytes, components, mix, prefix_sums, span_hash, text_slices, word_spans, written
+from starloom.llm.common import Forest, LOWER, column_bytes, components, mix, prefix_sums, span_hash, text_slices, word_spans, written
 from starloom.llm.linking import BLOCK_WEIGHT, link_groups, near_clusters, runs
 
 ORDER_BITS = 18
+# Connections that a task remembers, so as not to name them again.
+MOST_KNOWN = 500_000
 _LOW = np.uint64((1 << (64 - ORDER_BITS)) - 1)
 
 
@@ -193,14 +195,17 @@ def _screen(shared: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
     near = _near(rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Forest()
         for group in runs(batches, "gram"):
+            if len(known.parent) > MOST_KNOWN:
+                known = Forest()
             if group.num_rows < 2:
                 continue
             items = (
                 (s, (n, 8 * len(k), int.from_bytes(k, "little")))
                 for s, n, k in zip(group["sid"].to_pylist(), group["n"].to_pylist(), group["sketch"].to_pylist(), strict=True)
             )
-            edges = list(near_clusters(items, near))
+            edges = list(near_clusters(items, near, known))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -10,45 +12,89 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from starloom.llm.common import text_slices
 
 WINDOW = 4096
 # Words whose ids a worker remembers, and windows it holds open.
-MOST_WORDS = 400_000
+MOST_WORDS = 500_000
 MOST_OPEN = 2_048
 
 _COLUMNS = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
 
+# A run of unaccented or western accented letters, and ASCII signs but the apostrophe behind it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ("The", "thing,", "Éréau.", "einöber", "ción!!", "a", "zZ***", "straße")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each byte: itself if printable, else the next one from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of a text, looked up word by word.
 
     The vocabulary's tokens never span white space, so a text's ids are those
     of its blank-separated words, one after the other. Only words not seen
-    before go through the tokenizer. Bytes of little-endian unsigned ids.
+    before go through the tokenizer: plain ones straight to its merges, if that
+    proves equal for some probes, others through all its steps. Bytes of
+    little-endian unsigned ids.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.end = array("I", [end_id]).tobytes()
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.letters = _byte_letters()
+        self.merges = None
+        if model.get("type") == "BPE":
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            # Its own cache is too small to be worth its locks.
+            self.merges = BPE(
+                vocab=model["vocab"], merges=merges, end_of_word_suffix=model.get("end_of_word_suffix"), cache_capacity=0
+            )
+            if any(self._of_word(w.encode()) != self._in_full(w) for w in _PROBES):
+                self.merges = None
+
+    def _in_full(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _of_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text) if self.merges else None
+        if plain is None:
+            return self._in_full(text)
+        letters, tail = plain[1].lower(), plain[2]
+        if tail not in self.tails:
+            if len(self.tails) > MOST_WORDS:
+                self.tails = {"": b""}
+            self.tails[tail] = self._in_full(tail)
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes() + self.tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for word, found in zip(
-            new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True
-        ):
-            known[word] = array("I", found.ids).tobytes()
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        known, out = self.known, []
+        for text in texts:
+            words = (text or "").encode().split()
+            for word in words:
+                if word not in known:
+                    known[word] = self._of_word(word)
+            out.append(b"".join([known[w] for w in words]) + self.end)
+        return out
 
 
 class Packer:
