@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import table
+from starloom.llm.line_dedup import dedup_lines
 from starloom.llm.ngram_join import Jaccard, ngram_components
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import judge_quality
@@ -42,6 +43,12 @@ def packing_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query("op2_ngram_join")
 def op2_ngram_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), Jaccard(words=3, up=90, down=100))
