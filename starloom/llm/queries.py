@@ -13,6 +13,7 @@ from starloom.llm.ngram_join import Jaccard, ngram_components
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import judge_quality
 from starloom.llm.sharding import shard_documents
+from starloom.llm.suffix_dedup import remove_repeats
 from starloom.llm.toxicity import score_toxicity, train_toxicity
 from starloom.llm.url_filter import Rule, filter_urls
 
@@ -86,6 +87,13 @@ def op7_toxicity(spark, sf_dir):
     )
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256")
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
