@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import table
+from starloom.llm.decontaminate import find_leaks
 from starloom.llm.line_dedup import dedup_lines
 from starloom.llm.ngram_join import Jaccard, ngram_components
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import judge_quality
+from starloom.llm.secret_scan import scan_secrets
 from starloom.llm.sharding import shard_documents
 from starloom.llm.suffix_dedup import remove_repeats
 from starloom.llm.toxicity import score_toxicity, train_toxicity
@@ -55,6 +57,12 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), Jaccard(words=3, up=90, down=100))
 
 
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -94,6 +102,13 @@ def op8_suffix_dedup(spark, sf_dir):
     )
 
 
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.*")
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
