@@ -37,9 +37,9 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+def row_key() -> Column:
     """Names a document: equal only for rows of the same doc_id and text."""
-    return F.xxhash64(F.col(doc_id), text_of(text))
+    return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
 # --- texts as bytes ----------------------------------------------------------

@@ -205,8 +205,10 @@ def _join(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, high
     return b" ".join(data[a:b].tobytes() for a, b in zip(starts[low:high], ends[low:high], strict=True))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
-    """Add ``leaks`` to each document: the benchmark items it holds, and where.
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(), out: str = "leaks"
+) -> DataFrame:
+    """Add ``leaks`` (or ``out``) to each document: the benchmark items it holds, and where.
 
     Texts are compared as words without case, signs and white space, digits
     alike. Item-sized windows are laid where three words in a row of an item
@@ -215,29 +217,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
     leaks is an empty array for clean documents and null or empty texts. An item
     with fewer than three words, a null text or a null id proves nothing and is
     never found. Repeated rows and items are each judged. Documents are scanned
-    once for each block of items; a column named leaks is replaced.
+    once for each block of items; a column of that name is replaced.
     """
-    found = docs.select(*[c for c in docs.columns if c != "leaks"]).withColumn("leaks", F.array().cast(ArrayType(_LEAK)))
+    found = docs.select(*[c for c in docs.columns if c != out]).withColumn(out, F.array().cast(ArrayType(_LEAK)))
     given = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * chars / BLOCK_CHARS))
     for block in range(blocks if chars else 0):
         own = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([tuple(r) for r in own.collect()], rule))
-        found = _scan(found, index)
+        found = _scan(found, index, out)
     return found
 
 
-def _scan(docs: DataFrame, index) -> DataFrame:
+def _scan(docs: DataFrame, index, out: str) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            leaks = batch.column("leaks").to_pylist()
+            leaks = batch.column(out).to_pylist()
             if index.value.items:
                 for t, more in _find(index.value, batch.column("text")).items():
                     leaks[t] = leaks[t] + more
-            at = batch.schema.get_field_index("leaks")
+            at = batch.schema.get_field_index(out)
             yield batch.set_column(at, batch.schema.field(at), pa.array(leaks, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, schema)
@@ -245,4 +247,4 @@ def _scan(docs: DataFrame, index) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return find_leaks(docs, benchmark, rule).where(F.size("leaks") == 0).drop("leaks")
+    return find_leaks(docs, benchmark, rule, "__leaks").where(F.size("__leaks") == 0).drop("__leaks")

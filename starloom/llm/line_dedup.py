@@ -255,30 +255,44 @@ def normal_line(line: str) -> str:
     return " ".join(w for w in line.lower().translate(_WORDS).split(" ") if w)
 
 
-def dedup_lines(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int = BLOCK_WEIGHT) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    rule: LineRule = LineRule(),
+    block_weight: int = BLOCK_WEIGHT,
+    counts: bool = True,
+    drop_emptied: bool = False,
+) -> DataFrame:
     """The documents without the repeated lines, and how many lines went.
 
     Lines are what ``\\n`` separates. Those with fewer than ``least_words`` words
     in normal form (case, digits and signs alike) always stay; of each group of
     linked others one occurrence stays, the first by (doc_id, line), a null
-    doc_id last. Adds n_lines and n_removed (long); columns of these names are
-    replaced, others are carried along.
+    doc_id last. With ``counts`` adds n_lines and n_removed (long), in place of
+    columns of these names; others are carried along. With ``drop_emptied``
+    documents that lost every line long enough to judge go.
 
     A null text stays null, an empty one empty. Rows alike in doc_id and text
     are one document to this operator: what is kept in one is kept in all.
     """
-    given = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
+    added = ("n_lines", "n_removed") if counts else ()
+    given = docs.select(*[c for c in docs.columns if c not in added])
     keyed = given.withColumn("__doc", row_key())
     unique = keyed.select(F.col("doc_id").cast("long"), F.col("__doc").alias("doc"), "text").where("text IS NOT NULL")
-    gone = line_groups(unique, rule, block_weight).where("NOT kept")
-    lists = gone.select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("__gone"))
+    lines = line_groups(unique, rule, block_weight)
+    lists = (
+        lines.groupBy("doc")
+        .agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__gone"), F.max("kept").alias("__some"))
+        .where(F.size("__gone") > 0)
+    )
     joined = keyed.join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter("__lines", lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return (
-        joined.withColumn("__lines", lines)
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-        .withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .drop("__gone", "__lines")
+    out = joined.withColumn("__lines", lines).withColumn(
+        "text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
     )
+    if drop_emptied:
+        out = out.where(F.coalesce("__some", F.lit(True)))
+    if counts:
+        out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
+        out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    return out.drop("__gone", "__some", "__lines")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Forest, LOWER, column_bytes, components, mix, prefix_sums, span_hash, text_slices, word_spans, written
+from starloom.llm.common import Forest, LOWER, column_bytes, components, mix, prefix_sums, row_key, span_hash, text_slices, word_spans, written
 from starloom.llm.linking import BLOCK_WEIGHT, link_groups, near_clusters, runs
 
 ORDER_BITS = 18
@@ -94,20 +94,21 @@ def _sets(docs: DataFrame, rule: Jaccard) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("doc"),
                     pa.array(n, pa.int64()),
                     pa.array(ids, pa.int64()),
                     pa.array(marks, pa.binary()),
                     pa.nulls(len(n), pa.binary()),
                 ],
-                ["doc_id", "n", "sid", "sketch", "counts"],
+                ["doc_id", "doc", "n", "sid", "sketch", "counts"],
             )
         if counts.any():
             packed = zlib.compress(counts.tobytes(), 1)
-            columns = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "sketch", "counts"])
+            columns = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "n", "sid", "sketch", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, sid long, sketch binary, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("doc"), "text").mapInArrow(
+        run, "doc_id long, doc long, n long, sid long, sketch binary, counts binary"
     )
 
 
@@ -287,31 +288,11 @@ class PrefixTree:
         return out
 
 
-def ngram_components(
-    docs: DataFrame,
-    rule: Jaccard = Jaccard(),
-    doc_id: str = "doc_id",
-    text: str = "text",
-    block_weight: int = BLOCK_WEIGHT,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents that links of equal or near n-gram sets connect.
-
-    Words are what white space separates, A-Z in lower case. Documents with the
-    same set share one node, so copies are never paired. The rarest n-grams of
-    each set name candidates, parity sketches drop those whose sets must differ
-    too much, and a prefix tree over each candidate group finds the links. No
-    link between different sets is lost; n-grams and sets are told apart by
-    64-bit hashes.
-
-    component_id is the smallest doc_id that links reach. A null or empty text
-    has no shingle and links with nothing: its component is its own id. A null
-    id keeps its row, may be linked, and never names a component that has
-    another id. Repeated rows come back each. Other columns are not read.
-    """
-    given = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+def _rooted(given: DataFrame, rule: Jaccard, block_weight: int) -> DataFrame:
+    """(doc_id, doc, n, root) of each row of given (doc_id, text); root is null without shingles."""
     rows = written(_sets(given, rule))
-    sets = rows.where("counts IS NULL").select("doc_id", "n", "sid", "sketch")
-    rank = docs.sparkSession.sparkContext.broadcast(_global_order(rows))
+    sets = rows.where("counts IS NULL").select("doc_id", "doc", "n", "sid", "sketch")
+    rank = given.sparkSession.sparkContext.broadcast(_global_order(rows))
     classes = sets.where("sketch IS NOT NULL").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("weight"), F.first("sketch").alias("sketch")
     )
@@ -336,21 +317,51 @@ def ngram_components(
         return [(ids[a], ids[b]) for a, b in links]
 
     roots = components(link_groups(edges, members_of, join, block_weight))
-    named = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "doc_id", "n", F.coalesce("root", "sid").alias("root")
+    return sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "doc_id", "doc", "n", F.coalesce("root", "sid").alias("root")
     )
+
+
+def ngram_components(
+    docs: DataFrame,
+    rule: Jaccard = Jaccard(),
+    doc_id: str = "doc_id",
+    text: str = "text",
+    block_weight: int = BLOCK_WEIGHT,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents that links of equal or near n-gram sets connect.
+
+    Words are what white space separates, A-Z in lower case. Documents with the
+    same set share one node, so copies are never paired. The rarest n-grams of
+    each set name candidates, parity sketches drop those whose sets must differ
+    too much, and a prefix tree over each candidate group finds the links. No
+    link between different sets is lost; n-grams and sets are told apart by
+    64-bit hashes.
+
+    component_id is the smallest doc_id that links reach. A null or empty text
+    has no shingle and links with nothing: its component is its own id. A null
+    id keeps its row, may be linked, and never names a component that has
+    another id. Repeated rows come back each. Other columns are not read.
+    """
+    given = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    named = _rooted(given, rule, block_weight)
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, rule: Jaccard = Jaccard()) -> DataFrame:
-    """One document of each component, the one with the smallest id.
+def keep_one(docs: DataFrame, rule: Jaccard = Jaccard(), block_weight: int = BLOCK_WEIGHT) -> DataFrame:
+    """One row of each component, that of the smallest id (a null id last).
 
-    Of rows with that id the smallest text stays. Documents without words, and
-    those with a null id, are kept: nothing shows that they repeat another.
+    Of rows alike in id and text one stays. Documents without words are kept,
+    all of them: nothing shows that they repeat another.
     """
-    parts = ngram_components(docs, rule)
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = _rooted(given, rule, block_weight).where("root IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")
+    kept = named.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc").alias("__doc"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(has_words).withColumn("__doc", row_key())
+    once = keyed.join(kept, "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
+    return once.unionByName(docs.where(~has_words))
