@@ -88,18 +88,31 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, rule: LineRule) -> tuple[L
     cuts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = (at - np.repeat(low, lengths)).astype(np.uint64)
     key = mix(np.add.reduceat(mix(words[at] ^ mix(inside + np.uint64(1))), cuts) + lengths.astype(np.uint64))
-    votes = np.empty((len(own), 64), bool)
-    step = 1 << 14
-    for a in range(0, len(own), step):
-        b = min(a + step, len(own))
-        part = words[at[cuts[a] : cuts[b] if b < len(own) else len(at)]]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, cuts[a:b] - cuts[a], axis=0, dtype=np.int32)
-        votes[a:b] = 2 * ones > lengths[a:b, None]
+    votes = _votes(words[at], cuts, lengths)
     sim = np.packbits(votes, axis=1).view("<u8").ravel().astype(np.uint64)
     return Lines(text[own], line[own], key.view(np.int64), sim, low, high), starts, ends
 
 
+# The bits of a byte, each in a byte of its own: sums of up to 255 words add up in one number.
+_LANES = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], "<u8")
+
+
+def _votes(words: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each line and bit whether more than half of the line's words have it."""
+    votes = np.empty((len(cuts), 64), bool)
+    ends = np.append(cuts[1:], len(words))
+    step = 1 << 13
+    for a in range(0, len(cuts), step):
+        own = slice(a, min(a + step, len(cuts)))
+        part = words[cuts[a] : ends[own][-1]].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(_LANES[part], cuts[own] - cuts[a], axis=0).view(np.uint8).reshape(-1, 64)
+        votes[own] = 2 * ones.astype(np.int32) > lengths[own, None]
+    for i in np.flatnonzero(lengths > 255):
+        bits = np.unpackbits(words[cuts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes[i] = 2 * bits.sum(axis=0, dtype=np.int64) > lengths[i]
+    return votes
+
+
 def _occurrences(docs: DataFrame, rule: LineRule) -> DataFrame:
     """(doc_id, doc, line, key, sim) of every line with enough words."""
 

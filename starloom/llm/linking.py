@@ -8,6 +8,7 @@ join looks for links between members that are not connected yet.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from starloom.llm.common import Forest, components, written
 # Weight (shingles, characters) that one task joins at once.
 BLOCK_WEIGHT = 2_000_000
 PIVOTS = 64
+SHORT_RUN = 48
 
 # nodes, labels, rows of the payload -> pairs of nodes that link
 BlockJoin = Callable[[list[int], list[int], pa.Table], list[tuple[int, int]]]
@@ -49,9 +51,17 @@ def near_clusters(
 
     items: (node, sketch). near: 2 if the sketches allow a link, 1 if both may
     link to a third, 0 if neither, -1 if the first is of no further use. Items
-    join the first leader that they may link to; leaders that may share a link
-    are connected, so only leaders are kept.
+    join the leaders that they may link to; leaders that may share a link are
+    connected, so only leaders are kept. In a short run all pairs are held
+    against each other instead.
     """
+    head = list(islice(items, SHORT_RUN + 1))
+    if len(head) <= SHORT_RUN:
+        for (a, x), (b, y) in combinations(head, 2):
+            if near(x, y) == 2 and known.union(a, b):
+                yield a, b
+        return
+    items = chain(head, items)
     leaders: list[tuple] = []
     for item in items:
         joined, stale = False, False
@@ -115,12 +125,14 @@ def link_groups(
         return links
     rounds = (
         lambda rows: rows.withColumn(
-            "to",
-            F.when(
-                F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n_members") / F.lit(PIVOTS))) == 0,
-                F.sequence(F.lit(0), F.col("n_blocks") - 1),
-            ).otherwise(F.array("block")),
-        ).select("*", F.xxhash64("root", F.explode("to")).alias("g")),
+            "other",
+            F.explode(
+                F.when(
+                    F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n_members") / F.lit(PIVOTS))) == 0,
+                    F.sequence(F.lit(0), F.col("n_blocks") - 1),
+                ).otherwise(F.array("block"))
+            ),
+        ).withColumn("g", F.xxhash64("root", "other")),
         lambda rows: rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .where("other <> block")
         .withColumn("g", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))),

@@ -18,9 +18,9 @@ from starloom.session import source_bytes
 LENGTH = 50
 GRAM = 20
 # Anchors that meet in one task: so many bytes of source files.
-BYTES_PER_BUCKET = 16 << 20
+BYTES_PER_BUCKET = 6 << 20
 # Bytes of text in one suffix array.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 
 
 class Interval(NamedTuple):
@@ -191,7 +191,7 @@ def _deal(n_buckets: int, length: int, gram: int):
     """Anchors of each slice, dealt by hash; copies within the slice are marked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=1 << 22):
+        for batch in text_slices(batches):
             data, offsets = column_bytes(batch.column("text"))
             ids, docs = batch.column("doc_id").to_numpy(), batch.column("doc").to_numpy()
             owner, at, h, around = find_anchors(data, offsets, length, gram)
