@@ -88,7 +88,13 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, rule: LineRule) -> tuple[L
     cuts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = (at - np.repeat(low, lengths)).astype(np.uint64)
     key = mix(np.add.reduceat(mix(words[at] ^ mix(inside + np.uint64(1))), cuts) + lengths.astype(np.uint64))
-    votes = _votes(words[at], cuts, lengths)
+    # Each word votes once: else the commonest words alone would make long lines alike.
+    owner = np.repeat(np.arange(len(own)), lengths)
+    order = np.lexsort((words[at], owner))
+    voters, owner = words[at][order], owner[order]
+    once = np.concatenate(([True], (voters[1:] != voters[:-1]) | (owner[1:] != owner[:-1])))
+    n_voters = np.bincount(owner[once], minlength=len(own))
+    votes = _votes(voters[once], np.concatenate(([0], np.cumsum(n_voters)[:-1])), n_voters)
     sim = np.packbits(votes, axis=1).view("<u8").ravel().astype(np.uint64)
     return Lines(text[own], line[own], key.view(np.int64), sim, low, high), starts, ends
 
@@ -98,7 +104,7 @@ _LANES = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b
 
 
 def _votes(words: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each line and bit whether more than half of the line's words have it."""
+    """For each line and bit whether more than half of the words have it."""
     votes = np.empty((len(cuts), 64), bool)
     ends = np.append(cuts[1:], len(words))
     step = 1 << 13
