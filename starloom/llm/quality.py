@@ -22,17 +22,17 @@ def _words(text: Column) -> Column:
 def base_signals(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add the words of each document and its base signals.
 
-    Added: words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    Added: words, hashes (of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed. A null text has no word. Columns of these names are replaced.
     """
     body = text_of(text)
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     found = docs.withColumn("words", _words(body)).withColumn("n_words", F.size("words").cast("long"))
-    found = found.withColumn("lines", lines)
+    found = found.withColumn("lines", lines).withColumn("hashes", _hashes("words"))
     # A hash for each window of words; most documents repeat none of them.
     grams = F.when(
         F.col("n_words") >= window,
-        F.transform(F.sequence(F.lit(1), F.size("words") - window + 1), lambda i: F.xxhash64(F.slice("words", i, window))),
+        F.transform(F.sequence(F.lit(1), F.size("words") - window + 1), lambda i: F.xxhash64(F.slice("hashes", i, window))),
     ).otherwise(F.array().cast("array<bigint>"))
     found = found.withColumn("grams", grams)
     found = found.withColumn("sorted", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), _sorted_places("grams")))
@@ -58,10 +58,15 @@ def _sorted_places(grams: str) -> Column:
     return F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
-def hashed_grams(words: str, buckets: int = BUCKETS) -> Column:
+def _hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def hashed_grams(hashes: str, buckets: int = BUCKETS) -> Column:
     """Buckets of the words and of the pairs of neighbours (the last word pairs with nothing)."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(words, F.slice(words, 2, 2147483647), lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(buckets)) + buckets).cast("int"))
+    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    after = F.slice(hashes, 2, 2147483647)
+    pairs = F.zip_with(hashes, after, lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(buckets)) + buckets).cast("int"))
     return F.concat(single, pairs)
 
 
@@ -82,8 +87,9 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Da
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_trusted", F.lit(1))
     grams = (
         docs.select("doc_id", _words(text_of()).alias("words"))
+        .withColumn("hashes", _hashes("words"))
         .join(ids, "doc_id", "left")
-        .select(F.coalesce("is_trusted", F.lit(0)).alias("is_trusted"), F.explode(hashed_grams("words", buckets)).alias("bucket"))
+        .select(F.coalesce("is_trusted", F.lit(0)).alias("is_trusted"), F.explode(hashed_grams("hashes", buckets)).alias("bucket"))
     )
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.sum("raw"), F.sum("good")).first()
@@ -100,8 +106,8 @@ def score_quality(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS) -
     ``ratio`` is 0 for a document without words.
     """
     signals = base_signals(docs).withColumn("row", F.monotonically_increasing_id())
-    kept = [c for c in signals.columns if c not in ("words", "text")]
-    grams = signals.select(*kept, F.explode_outer(hashed_grams("words", buckets)).alias("bucket"))
+    kept = [c for c in signals.columns if c not in ("words", "hashes", "text")]
+    grams = signals.select(*kept, F.explode_outer(hashed_grams("hashes", buckets)).alias("bucket"))
     # 2 * buckets rows at most, whatever the corpus.
     weighed = grams.join(F.broadcast(weights), "bucket", "left")
     keys = [F.col(c) for c in kept]
