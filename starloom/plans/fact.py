@@ -40,12 +40,12 @@ def build_fact_base(items: DataFrame, orders: DataFrame) -> DataFrame:
 def build_fact(
     items: DataFrame,
     orders: DataFrame,
-    dim_customers: DataFrame,
-    dim_products: DataFrame,
-    dim_sellers: DataFrame,
-    dim_date: DataFrame,
+    dim_customers: DataFrame | None = None,
+    dim_products: DataFrame | None = None,
+    dim_sellers: DataFrame | None = None,
+    dim_date: DataFrame | None = None,
 ) -> DataFrame:
-    """The fact with its four foreign keys; unknown members give NULL keys.
+    """The fact with a foreign key for each dimension given; unknown members give NULL keys.
 
     Customer and date belong to the order, so they are looked up on the order
     rows, and product and seller on the item rows, before the two meet. Only
@@ -55,13 +55,18 @@ def build_fact(
     order_rows = orders.select(
         "order_id", "order_status", "customer_id", F.to_date("order_purchase_ts").alias("Date")
     )
-    order_rows = lookup_key(order_rows, dim_customers, "customer_id", "CustomerKey")
-    order_rows = lookup_key(order_rows, dim_date, "Date", "DateKey")
-    order_rows = order_rows.select("order_id", "order_status", "CustomerKey", "DateKey")
+    if dim_customers is not None:
+        order_rows = lookup_key(order_rows, dim_customers, "customer_id", "CustomerKey")
+    if dim_date is not None:
+        order_rows = lookup_key(order_rows, dim_date, "Date", "DateKey")
+    order_rows = order_rows.drop("customer_id", "Date")
 
     item_rows = items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
-    item_rows = lookup_key(item_rows, dim_sellers, "seller_id", "SellerKey")
-    item_rows = lookup_key(item_rows, dim_products, "product_id", "ProductKey")
+    if dim_sellers is not None:
+        item_rows = lookup_key(item_rows, dim_sellers, "seller_id", "SellerKey")
+    if dim_products is not None:
+        item_rows = lookup_key(item_rows, dim_products, "product_id", "ProductKey")
     item_rows = item_rows.drop("product_id", "seller_id")
 
-    return item_rows.join(order_rows, "order_id").select(*FACT_COLUMNS)
+    fact = item_rows.join(order_rows, "order_id")
+    return fact.select(*[c for c in FACT_COLUMNS if c in fact.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from starloom.plans.dimensions import (
 )
 from starloom.plans.fact import build_fact
 from starloom.plans.quality import quality_checks
-from starloom.session import new_scratch, side_by_side
+from starloom.session import drop_scratch, new_scratch, side_by_side
 
 # Dimensions first, so that a foreign key always finds its member.
 STAR_TABLES = ("dim_customers", "dim_products", "dim_sellers", "dim_date", "fact_order_items")
@@ -28,12 +29,12 @@ STAR_TABLES = ("dim_customers", "dim_products", "dim_sellers", "dim_date", "fact
 class Star:
     """Dimensions are written tables below ``scratch``; the rest is lazy."""
 
-    dim_customers: DataFrame
-    dim_products: DataFrame
-    dim_sellers: DataFrame
-    dim_date: DataFrame
+    dim_customers: DataFrame | None
+    dim_products: DataFrame | None
+    dim_sellers: DataFrame | None
+    dim_date: DataFrame | None
     fact_order_items: DataFrame
-    quality_checks: DataFrame
+    quality_checks: DataFrame | None
     scratch: str
 
     def tables(self) -> dict[str, DataFrame]:
@@ -49,12 +50,15 @@ def build_star(
     on_error: str = "fail",
     keep_null_date: bool = True,
     scratch: str | None = None,
+    dims: Sequence[str] = STAR_TABLES[:-1],
 ) -> Star:
     """Build the star from the five raw tables.
 
     The four dimensions do not depend on one another, so their jobs run side
     by side. Each is written once: keys cannot change between the fact, the
-    checks and the sinks, also when executors are lost.
+    checks and the sinks, also when executors are lost. With fewer ``dims`` only
+    these are built and the fact carries their keys alone; the checks, which
+    need all four, are then None. A failure deletes what was written.
     """
     spark = sources["orders"].sparkSession
     scratch = scratch or new_scratch(spark)
@@ -72,8 +76,14 @@ def build_star(
         "dim_sellers": (build_dim_sellers, sources["sellers"], {}),
         "dim_date": (build_dim_date, sold_dates(items, orders), {"keep_null_member": keep_null_date}),
     }
-    dims = side_by_side(
-        spark, {name: lambda n=name, j=job: written(n, j[0], j[1], **j[2]) for name, job in jobs.items()}
+    wanted = {name: lambda n=name, j=jobs[name]: written(n, j[0], j[1], **j[2]) for name in dims}
+    try:
+        built = side_by_side(spark, wanted) if wanted else {}
+    except Exception:
+        drop_scratch(spark, scratch) if "/starloom/" in scratch else None
+        raise
+    fact = build_fact(items, orders, **built)
+    checks = quality_checks(fact) if len(built) == len(jobs) else None
+    return Star(
+        **{name: built.get(name) for name in jobs}, fact_order_items=fact, quality_checks=checks, scratch=scratch
     )
-    fact = build_fact(items, orders, **dims)
-    return Star(**dims, fact_order_items=fact, quality_checks=quality_checks(fact), scratch=scratch)

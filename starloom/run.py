@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from starloom.operators import freeze
-from starloom.plans.quality import quality_findings
+from starloom.plans.quality import quality_checks, quality_findings
 from starloom.plans.star import Star, build_star
-from starloom.session import tune, widen_shuffle
+from starloom.session import drop_scratch, tune, widen_shuffle
 from starloom.sinks import publish_jdbc, publish_parquet
 from starloom.sources import load_sources
 
@@ -29,21 +30,28 @@ def run_star(
 
     With ``publish`` it goes to ``target``: a folder for Parquet, a mapping
     of connection options for JDBC. Without, the checks alone run. The fact is
-    written once to the run's scratch path, so checks and sinks read it
-    instead of joining again. Call ``drop_scratch(spark, star.scratch)`` when
+    written once, to the Parquet target or else to the run's scratch path, so
+    checks and sinks read it instead of joining again. A run that fails, also
+    at the gate, deletes its scratch path. Call ``drop_scratch(spark, star.scratch)`` when
     the returned tables are no longer needed.
     """
     tune(spark)
     sources = load_sources(spark, source, fmt, pattern) if isinstance(source, str) else source
     widen_shuffle(spark, sources)
-    star = build_star(sources, **options)
-    if not publish:
-        quality_findings(star.quality_checks, gate)
-    elif isinstance(target, str):
-        publish_parquet(star.tables(), target, gate)
-    elif target is not None:
-        fact = freeze(star.fact_order_items, f"{star.scratch}/fact_order_items")
-        publish_jdbc({**star.tables(), "fact_order_items": fact}, target, gate=gate)
-    else:
+    if publish and target is None:
         raise ValueError("publish needs a target")
+    star = build_star(sources, **options)
+    try:
+        if not publish or not isinstance(target, str):
+            fact = freeze(star.fact_order_items, f"{star.scratch}/fact_order_items")
+            star = replace(star, fact_order_items=fact, quality_checks=quality_checks(fact))
+        if not publish:
+            quality_findings(star.quality_checks, gate)
+        elif isinstance(target, str):
+            publish_parquet(star.tables(), target, gate)
+        else:
+            publish_jdbc(star.tables(), target, gate=gate)
+    except Exception:
+        drop_scratch(spark, star.scratch)
+        raise
     return star

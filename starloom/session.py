@@ -28,10 +28,9 @@ SESSION_CONF = {
     "spark.sql.execution.rangeExchange.sampleSizePerPartition": "20",
 }
 
-# About half of the raw bytes cross a shuffle, so this keeps a partition near
-# 256 MB. Beyond the last width, blocks per shuffle cost more than they save.
-SOURCE_BYTES_PER_PARTITION = 512 * 1024 * 1024
-WIDEST_SHUFFLE = 100_000
+# 13.4 MB of raw orders and items became 32 MiB of rows in a shuffle at sf0.1,
+# so this many file bytes make about 300 MB of rows in a partition.
+SOURCE_BYTES_PER_PARTITION = 128 * 1024 * 1024
 # Spark gives an input of unknown size the largest long.
 UNKNOWN_SIZE = 1 << 62
 
@@ -73,7 +72,7 @@ def widen_shuffle(spark: SparkSession, sources: dict[str, DataFrame]) -> int:
     """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     needed = math.ceil(sum(map(source_bytes, sources.values())) / SOURCE_BYTES_PER_PARTITION)
-    wider = max(width, min(needed, WIDEST_SHUFFLE))
+    wider = max(width, needed)
     if wider > width:
         spark.conf.set("spark.sql.shuffle.partitions", str(wider))
     return wider
@@ -104,9 +103,10 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     delete_folder(spark, path)
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder if it is there; whether it was."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
 
 
 def side_by_side(spark: SparkSession, jobs: dict[str, Callable]) -> dict:

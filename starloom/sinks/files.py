@@ -54,7 +54,7 @@ def read_published(spark: SparkSession, target: str) -> dict[str, DataFrame]:
 
 
 def expire_published(spark: SparkSession, target: str, keep: int = 2) -> int:
-    """Delete the files of all but the last ``keep`` versions.
+    """Delete the files of all but the last ``keep`` versions; returns how many went now.
 
     Keep more than one while readers may still be on an older version.
     """
@@ -62,9 +62,7 @@ def expire_published(spark: SparkSession, target: str, keep: int = 2) -> int:
         raise ValueError("the current version cannot be expired")
     last = _latest(spark, target)[0]
     old = published_versions(spark, target).where(F.col("version") <= last - keep).collect()
-    for version in old:
-        delete_folder(spark, f"{target}/runs/{version.run}")
-    return len(old)
+    return sum(delete_folder(spark, f"{target}/runs/{version.run}") for version in old)
 
 
 def _latest(spark: SparkSession, target: str) -> tuple[int, str | None]:

@@ -25,12 +25,15 @@ def bench_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(BENCH_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, DataFrame]:
+def raw_tables(
+    spark: SparkSession, sf_dir: str, dirty: bool = False, missing: bool = False
+) -> dict[str, DataFrame]:
     """The raw tables, clean or with faults that rules on the data put in.
 
-    The dirty set has padded lower-case text, repeated natural keys, a segment
-    of customers that is missing, purchase times in another format for urgent
-    orders and none at all for low-priority partial ones.
+    The dirty set has padded lower-case text, repeated natural keys, purchase
+    times in another format for urgent orders and none at all for low-priority
+    partial ones. With ``missing`` a segment of customers is absent, for the
+    queries that look for parents which are not there.
     """
 
     def table(name):
@@ -65,8 +68,9 @@ def raw_tables(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[st
     customer = table("customer")
     supplier = table("supplier")
     part = table("part")
-    if dirty:
+    if missing:
         customer = customer.where("c_mktsegment <> 'BUILDING'")
+    if dirty:
         customer = customer.unionAll(customer.where("c_acctbal < 0").withColumn("c_name", F.concat("c_name", F.lit("/2"))))
         supplier = supplier.unionAll(supplier.where("s_acctbal < 0").withColumn("s_name", F.concat(F.lit("Acme "), "s_name")))
         part = part.withColumn("p_type", F.when(F.col("p_brand") != "Brand#1", F.col("p_type")))

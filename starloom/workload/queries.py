@@ -57,8 +57,8 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _star(spark, sf_dir, dirty=True, **options):
-    return build_star(raw_tables(spark, sf_dir, dirty), **options)
+def _star(spark, sf_dir, dirty=True, missing=False, **options):
+    return build_star(raw_tables(spark, sf_dir, dirty, missing), **options)
 
 
 def _plain_time(df: DataFrame, column: str) -> DataFrame:
@@ -259,7 +259,7 @@ def fact_order_items(spark, sf_dir):
 
 @query("fact_order_items_dirty")
 def fact_order_items_dirty(spark, sf_dir):
-    return _star(spark, sf_dir).fact_order_items
+    return _star(spark, sf_dir, missing=True).fact_order_items
 
 
 @query("star_counts")
@@ -272,12 +272,12 @@ def star_counts(spark, sf_dir):
 
 @query("quality_checks")
 def quality_checks(spark, sf_dir):
-    return _star(spark, sf_dir).quality_checks
+    return _star(spark, sf_dir, missing=True).quality_checks
 
 
 @query("quality_checks_packed")
 def quality_checks_packed(spark, sf_dir):
-    return _star(spark, sf_dir, layout="packed").quality_checks
+    return _star(spark, sf_dir, missing=True, layout="packed").quality_checks
 
 
 @query("fact_duplicates")
@@ -289,7 +289,7 @@ def fact_duplicates(spark, sf_dir):
 
 @query("fk_orphans")
 def fk_orphans(spark, sf_dir):
-    raw = raw_tables(spark, sf_dir, dirty=True)
+    raw = raw_tables(spark, sf_dir, dirty=True, missing=True)
     relations = (
         ("order_items", "order_id", "orders"),
         ("order_items", "product_id", "products"),
@@ -339,22 +339,22 @@ def export_csv_dim(spark, sf_dir):
 
 @query("mart_sales_by_month")
 def mart_sales_by_month(spark, sf_dir):
-    star = _star(spark, sf_dir)
+    star = _star(spark, sf_dir, dims=("dim_date",))
     return marts.sales_by_month(star.fact_order_items, star.dim_date)
 
 
 @query("mart_product_performance")
 def mart_product_performance(spark, sf_dir):
-    star = _star(spark, sf_dir)
+    star = _star(spark, sf_dir, dims=("dim_products",))
     return marts.product_performance(star.fact_order_items, star.dim_products)
 
 
 @query("mart_customer_behavior")
 def mart_customer_behavior(spark, sf_dir):
-    star = _star(spark, sf_dir)
+    star = _star(spark, sf_dir, dims=("dim_customers",))
     return marts.customer_behavior(star.fact_order_items, star.dim_customers)
 
 
 @query("mart_status_mix")
 def mart_status_mix(spark, sf_dir):
-    return marts.status_mix(_star(spark, sf_dir).fact_order_items)
+    return marts.status_mix(_star(spark, sf_dir, dims=()).fact_order_items)

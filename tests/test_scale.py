@@ -114,3 +114,16 @@ def test_items_cross_one_shuffle_when_dimensions_are_small(spark, conf):
 def test_dense_keys_use_no_single_partition_window(spark):
     plans = [plan_of(QUERIES[name](spark, SMALL)) for name in ("surrogate_key_dense", "dim_customers", "dim_date")]
     assert not any("Window" in p or "SinglePartition" in p for p in plans)
+
+
+def test_rollups_build_only_the_dimension_they_use(spark):
+    used = {
+        "mart_status_mix": None,
+        "mart_sales_by_month": "DateKey",
+        "mart_product_performance": "ProductKey",
+        "mart_customer_behavior": "CustomerKey",
+    }
+    for name, own in used.items():
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        found = {key for key in ("CustomerKey", "ProductKey", "SellerKey", "DateKey") if key in plan}
+        assert found == ({own} if own else set()), name

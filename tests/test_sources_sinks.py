@@ -102,6 +102,7 @@ def test_old_versions_are_deleted_on_request(spark, tmp_path, sources):
     for version in (1, 2, 3):
         assert publish_parquet(tables, target) == version
     assert expire_published(spark, target, keep=2) == 1
+    assert expire_published(spark, target, keep=2) == 0
     assert len(list((tmp_path / "dwh" / "runs").iterdir())) == 2
     assert read_published(spark, target)["fact_order_items"].count() == 7
     with pytest.raises(ValueError, match="current"):
@@ -145,9 +146,9 @@ def test_shuffle_width_grows_with_the_sources_and_never_shrinks(spark, conf):
     conf(spark__sql__shuffle__partitions="4")
     assert widen_shuffle(spark, {"small": spark.range(10)}) == 4
     assert widen_shuffle(spark, {"unknown": spark.createDataFrame([(1,)], "a int")}) == 4
-    assert widen_shuffle(spark, {"big": spark.range(10**11)}) == -(-8 * 10**11 // (512 * 1024 * 1024))
-    assert widen_shuffle(spark, {"small": spark.range(10)}) == 1491
-    assert widen_shuffle(spark, {"huge": spark.range(10**15)}) == 100_000
+    assert widen_shuffle(spark, {"big": spark.range(10**11)}) == -(-8 * 10**11 // (128 * 1024 * 1024))
+    assert widen_shuffle(spark, {"small": spark.range(10)}) == 5961
+    assert widen_shuffle(spark, {"huge": spark.range(10**15)}) == -(-8 * 10**15 // (128 * 1024 * 1024))
 
 
 def test_csv_export_round_trip(spark, tmp_path, sources):
@@ -215,5 +216,30 @@ def test_jdbc_run_passes_written_tables(spark, sources, recorded, monkeypatch):
     assert spark.read.parquet(f"{star.scratch}/fact_order_items").count() == 7
 
 
+def test_jdbc_counts_in_the_database(spark, monkeypatch):
+    asked = {}
+
+    class Reader:
+        def options(self, **given):
+            asked.update(given)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(5,)], "n long")
+
+    monkeypatch.setattr(type(spark.read), "format", lambda self, kind: Reader())
+    options = jdbc_options(CONNECTION, "dim_date")
+    assert jdbc._rows_in(spark.range(1), options) == 5
+    assert asked["dbtable"] == "(SELECT count(*) AS n FROM dwh.dim_date) counted"
+    assert options["numPartitions"] == "16"
+
+
+def test_a_closed_gate_leaves_no_scratch(spark, sources, tmp_path):
+    scratch = f"{tmp_path}/starloom/one"
+    with pytest.raises(QualityError):
+        run_star(spark, sources, gate="fail", scratch=scratch)
+    assert not (tmp_path / "starloom" / "one").exists()
+
+
 def test_scratch_is_unique(spark):
     assert new_scratch(spark) != new_scratch(spark)

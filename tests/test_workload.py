@@ -1,10 +1,11 @@
-"""Every registered query against its SQL check, and the driver's contract."""
+"""Every query of the workload against its SQL check, and the driver's contract."""
 
 import pytest
 from compare import difference, open_tables
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from starloom.workload import CHECKS, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,10 +14,11 @@ def tables():
 
 
 def test_every_query_has_a_check():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_check(spark, tables, name):
     df = contract.queries()[name](spark, SMALL)
     assert difference(df, tables, contract.oracle_sql()[name]) is None
