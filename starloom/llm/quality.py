@@ -58,7 +58,7 @@ def _sorted_places(grams: str) -> Column:
     return F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
-def _hashes(words: str) -> Column:
+def _hashes(words: str | Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -85,12 +85,13 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Da
     one; without any trusted document every weight is 0.
     """
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_trusted", F.lit(1))
-    grams = (
-        docs.select("doc_id", _words(text_of()).alias("words"))
-        .withColumn("hashes", _hashes("words"))
-        .join(ids, "doc_id", "left")
-        .select(F.coalesce("is_trusted", F.lit(0)).alias("is_trusted"), F.explode(hashed_grams("hashes", buckets)).alias("bucket"))
-    )
+    # Texts meet the ids, not their far wider words; by a shuffle at any size, as trusted rows grow with the corpus.
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    marked = named.select("text", F.coalesce("is_trusted", F.lit(0)).alias("is_trusted"))
+    # Rows without an id have no label, and would all meet in one task.
+    given = marked.unionAll(docs.where("doc_id IS NULL").select("text", F.lit(0).alias("is_trusted")))
+    hashes = given.select("is_trusted", _hashes(_words(text_of())).alias("hashes"))
+    grams = hashes.select("is_trusted", F.explode(hashed_grams("hashes", buckets)).alias("bucket"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("good")))
     n_raw, n_good = counts.agg(F.sum("raw"), F.sum("good")).first()
     n_raw, n_good = n_raw or 1, n_good or 0
