@@ -13,14 +13,20 @@ MEASURES = ("price", "freight_value")
 
 
 def cast_measures(df: DataFrame, columns: Sequence[str] = MEASURES, on_error: str = "fail") -> DataFrame:
-    """Cast columns to double; malformed text fails the job or becomes NULL."""
+    """Cast columns to double; malformed text fails the job or becomes NULL, whatever the session's ANSI mode."""
     if on_error == "fail":
-        return df.withColumns({c: F.col(c).cast("double") for c in columns})
+        return df.withColumns({c: _cast_or_fail(c) for c in columns})
     if on_error == "null":
         return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
     raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
 
 
+def _cast_or_fail(column: str) -> Column:
+    number = F.col(column).try_cast("double")
+    malformed = F.concat(F.lit(f"CAST_INVALID_INPUT: {column} is not a number: "), F.col(column).cast("string"))
+    return F.when(F.col(column).isNotNull() & number.isNull(), F.raise_error(malformed)).otherwise(number)
+
+
 def normalize_text(column: Column | str) -> Column:
     """Upper-case and strip outer spaces; inner spaces and accents stay."""
     return F.trim(F.upper(column))

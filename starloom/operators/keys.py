@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.frozen import freeze
@@ -31,28 +30,27 @@ def add_surrogate_key(
     ascending order, NULL last, and writes the table to ``path`` (a new
     scratch path by default); Spark places its range bounds by a sample of the
     keys on the driver, so keys should be ids rather than long texts.
-    ``packed`` stays lazy, leaves gaps, and holds one N/buckets share of the
-    keys in a task, so raise ``buckets`` with N.
+    ``packed`` numbers the keys within each hash bucket and leaves gaps; it is
+    written too, and any number of tasks shares a bucket.
     """
-    if layout == "dense":
-        return _dense(df, key, out, path or new_scratch(df.sparkSession))
-    if layout == "packed":
-        return _packed(df, key, out, buckets)
-    raise ValueError(f"layout must be 'dense' or 'packed', not {layout!r}")
+    if layout not in ("dense", "packed"):
+        raise ValueError(f"layout must be 'dense' or 'packed', not {layout!r}")
+    path = path or new_scratch(df.sparkSession)
+    return _dense(df, key, out, path) if layout == "dense" else _packed(df, key, out, path, buckets)
 
 
-def _dense(df: DataFrame, key: str, out: str, path: str) -> DataFrame:
-    """Rank by key without a one-partition window.
+def _ranked(df: DataFrame, columns: list[str], path: str) -> tuple[DataFrame, Column]:
+    """The written table, and the rank of its rows by ``columns``, without a one-partition window.
 
     A range shuffle sorts the keys across partitions. The written table keeps
     each row's partition and its place there, so the rows before it are a sum
     of earlier partition sizes, one number per partition. Where Spark drew the
     range bounds does not matter: the rank is the same for any of them.
     """
-    ascending = F.col(key).asc_nulls_last()
+    ascending = [F.col(c).asc_nulls_last() for c in columns]
     placed = (
-        df.repartitionByRange(ascending)
-        .sortWithinPartitions(ascending)
+        df.repartitionByRange(*ascending)
+        .sortWithinPartitions(*ascending)
         .withColumn("__place", F.monotonically_increasing_id())
     )
     written = freeze(placed, path)
@@ -66,10 +64,20 @@ def _dense(df: DataFrame, key: str, out: str, path: str) -> DataFrame:
     # A literal, not a join, so that the size estimate of the table stays true.
     offsets = F.split(F.lit(",".join(map(str, rows_before)) or "0"), ",").cast("array<bigint>")
     place = F.col("__place").bitwiseAND(F.lit(ROW_MASK))
-    return written.select(*df.columns, (F.get(offsets, partition) + place + 1).alias(out))
+    return written, F.get(offsets, partition) + place + 1
+
+
+def _dense(df: DataFrame, key: str, out: str, path: str) -> DataFrame:
+    written, rank = _ranked(df, [key], path)
+    return written.select(*df.columns, rank.alias(out))
 
 
-def _packed(df: DataFrame, key: str, out: str, buckets: int) -> DataFrame:
+def _packed(df: DataFrame, key: str, out: str, path: str, buckets: int) -> DataFrame:
+    """Rank by bucket and key, less the rank before the bucket's first row."""
     bucket = F.pmod(F.hash(key), F.lit(buckets)).cast("bigint")
-    in_bucket = W.partitionBy(bucket).orderBy(F.col(key).asc_nulls_last())
-    return df.withColumn(out, F.shiftleft(bucket, ROW_BITS) + F.row_number().over(in_bucket).cast("bigint"))
+    written, rank = _ranked(df.withColumn("__bucket", bucket), ["__bucket", key], path)
+    # One row per bucket comes back.
+    first = dict(written.groupBy("__bucket").agg(F.min(rank)).collect())
+    starts = F.split(F.lit(",".join(str(first.get(b, 0)) for b in range(buckets))), ",").cast("array<bigint>")
+    in_bucket = rank - F.get(starts, F.col("__bucket").cast("int")) + 1
+    return written.select(*df.columns, (F.shiftleft("__bucket", ROW_BITS) + in_bucket).alias(out))

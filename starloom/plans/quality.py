@@ -20,17 +20,16 @@ class QualityError(RuntimeError):
 def quality_checks(fact: DataFrame) -> DataFrame:
     """One row: NULLs per foreign key, and grain groups with several rows.
 
-    All five come from one pass and one shuffle: NULLs are counted per group
-    and summed over the groups. The struct makes Spark shuffle on the whole
-    grain after a map-side count, so one hot order spreads out.
+    The NULLs are counted without a shuffle of rows, and the grain alone is
+    shuffled, so pass a written fact: a lazy one is computed for both. The struct
+    makes Spark shuffle on the whole grain after a map-side count, so one hot
+    order spreads out.
     """
-    groups = fact.groupBy(F.struct(*GRAIN).alias("grain")).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col(k).isNull()).alias(k) for k in FOREIGN_KEYS]
-    )
-    return groups.agg(
-        *[F.coalesce(F.sum(k), F.lit(0).cast("bigint")).alias(k) for k in FOREIGN_KEYS],
-        F.count_if(F.col("n") > 1).alias("duplicates"),
-    )
+    none = F.lit(0).cast("bigint")
+    nulls = fact.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in FOREIGN_KEYS], none.alias("duplicates"))
+    groups = fact.groupBy(F.struct(*GRAIN).alias("grain")).agg(F.count("*").alias("n"))
+    repeated = groups.agg(*[none.alias(k) for k in FOREIGN_KEYS], F.count_if(F.col("n") > 1).alias("duplicates"))
+    return nulls.unionAll(repeated).agg(*[F.sum(c).alias(c) for c in (*FOREIGN_KEYS, "duplicates")])
 
 
 def quality_findings(checks: DataFrame, gate: str = "warn") -> dict[str, int]:

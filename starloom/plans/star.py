@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from starloom.functions import cast_measures, parse_purchase_timestamps
-from starloom.operators import freeze
 from starloom.operators.keys import PACKED_BUCKETS
 from starloom.plans.dimensions import (
     build_dim_customers,
@@ -66,9 +65,7 @@ def build_star(
     orders = parse_purchase_timestamps(sources["orders"])
 
     def written(name, build, raw, **options):
-        path = f"{scratch}/{name}"
-        dim = build(raw, layout=layout, path=path, buckets=buckets, **options)
-        return dim if layout == "dense" else freeze(dim, path)
+        return build(raw, layout=layout, path=f"{scratch}/{name}", buckets=buckets, **options)
 
     jobs = {
         "dim_customers": (build_dim_customers, sources["customers"], {}),

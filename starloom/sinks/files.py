@@ -36,12 +36,14 @@ def publish_parquet(tables: dict[str, DataFrame], target: str, gate: str = "warn
     try:
         side_by_side(spark, {name: lambda name=name: tables[name].write.parquet(paths[name]) for name in dims})
         quality_findings(quality_checks(freeze(tables[fact], paths[fact])), gate)
+        version = 1 + _latest(spark, target)[0]
+        entry = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(run).alias("run"))
+        entry.coalesce(1).write.mode("append").json(f"{target}/versions")
     except Exception:
-        delete_folder(spark, f"{target}/runs/{run}")
+        # A version that was listed before its writer failed keeps its files.
+        if _latest(spark, target)[1] != run:
+            delete_folder(spark, f"{target}/runs/{run}")
         raise
-    version = 1 + _latest(spark, target)[0]
-    entry = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(run).alias("run"))
-    entry.coalesce(1).write.mode("append").json(f"{target}/versions")
     return version
 
 

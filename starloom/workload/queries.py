@@ -15,7 +15,7 @@ from starloom.functions import (
     parse_purchase_timestamps,
     zip_prefix,
 )
-from starloom.operators import add_surrogate_key, dedup_natural_key, duplicate_groups, orphans
+from starloom.operators import add_surrogate_key, dedup_natural_key, duplicate_groups, freeze, orphans
 from starloom.plans import (
     build_dim_customers,
     build_dim_date,
@@ -24,6 +24,7 @@ from starloom.plans import (
     build_fact_base,
     build_star,
     marts,
+    quality,
 )
 from starloom.plans.dimensions import sold_dates
 from starloom.session import new_scratch, tune, widen_shuffle
@@ -61,6 +62,10 @@ def _star(spark, sf_dir, dirty=True, missing=False, **options):
     return build_star(raw_tables(spark, sf_dir, dirty, missing), **options)
 
 
+def _checked(star) -> DataFrame:
+    return quality.quality_checks(freeze(star.fact_order_items, f"{star.scratch}/fact_order_items"))
+
+
 def _plain_time(df: DataFrame, column: str) -> DataFrame:
     """Timestamps without a zone, as the check's engine has them."""
     return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
@@ -272,12 +277,12 @@ def star_counts(spark, sf_dir):
 
 @query("quality_checks")
 def quality_checks(spark, sf_dir):
-    return _star(spark, sf_dir, missing=True).quality_checks
+    return _checked(_star(spark, sf_dir, missing=True))
 
 
 @query("quality_checks_packed")
 def quality_checks_packed(spark, sf_dir):
-    return _star(spark, sf_dir, missing=True, layout="packed").quality_checks
+    return _checked(_star(spark, sf_dir, missing=True, layout="packed"))
 
 
 @query("fact_duplicates")

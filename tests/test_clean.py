@@ -69,6 +69,13 @@ def test_malformed_measures_fail_or_become_null(spark):
         cast_measures(df, on_error="skip")
 
 
+def test_malformed_measures_fail_without_ansi_too(spark, conf):
+    df = spark.createDataFrame([("1.5", "2"), ("abc", None)], "price string, freight_value string")
+    conf(spark__sql__ansi__enabled="false")
+    with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):
+        cast_measures(df).collect()
+
+
 @pytest.mark.parametrize(
     ("text", "clean"),
     [

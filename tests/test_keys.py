@@ -50,6 +50,18 @@ def test_packed_key_holds_bucket_and_rank(spark):
     assert packed.select("sk").distinct().count() == 1000
 
 
+def test_packed_ranks_need_no_task_of_a_whole_bucket(spark, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    df = spark.range(1000).select(F.col("id").alias("k"))
+    packed = add_surrogate_key(df, "k", "sk", layout="packed", buckets=2)
+    assert "Window" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.select(F.input_file_name()).distinct().count() > 2
+    ranks = packed.groupBy(F.shiftright(F.col("sk") - 1, 33).alias("b")).agg(
+        F.min("sk").alias("low"), F.max("sk").alias("high"), F.count("*").alias("n")
+    )
+    assert all(r.low == r.b * 2**33 + 1 and r.high == r.b * 2**33 + r.n for r in ranks.collect())
+
+
 def test_keys_are_bigint_and_come_last(spark):
     df = spark.createDataFrame([("a", 1)], "k string, v int")
     for layout in ("dense", "packed"):

@@ -121,6 +121,15 @@ def test_a_closed_gate_leaves_the_published_star_alone(spark, tmp_path, sources)
         read_published(spark, str(tmp_path / "other"))
 
 
+def test_a_version_that_cannot_be_listed_leaves_no_run(spark, tmp_path, sources):
+    target = tmp_path / "dwh"
+    target.mkdir()
+    (target / "versions").touch()
+    with pytest.raises(Exception):
+        publish_parquet(build_star(sources).tables(), str(target))
+    assert not list((target / "runs").iterdir())
+
+
 def test_run_from_csv_folder_to_published_star(spark, tmp_path, sources):
     for name, df in sources.items():
         export_csv(df, f"{tmp_path}/raw/{name}.csv")
