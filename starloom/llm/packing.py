@@ -165,10 +165,11 @@ class Packer:
         for piece in pieces:
             while piece is not None:
                 if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
                     if whole_only and left < self.window:
+                        # No room is opened, so all pieces behind this one end here, too.
                         last.append(piece)
                         break
+                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
                 doc, start, ids, total = piece
                 take = min(room, len(ids) // 4)
                 current.append((doc, start, ids[: 4 * take], total))

@@ -283,6 +283,32 @@ def test_level_has_the_least_sum_of_squares():
         assert int((packer.levels[:32] ** 2).sum()) == best
 
 
+@pytest.mark.parametrize("most_open", [2, 3, 8, 40])
+def test_no_id_is_lost_where_open_windows_are_poured_together(monkeypatch, most_open):
+    monkeypatch.setattr(packing, "MOST_OPEN", most_open)
+    draw, packer, poured = random.Random(8), packing.Packer(32), 0
+    given, got, filled = {}, defaultdict(list), Counter()
+    for n in range(900):
+        # Sizes just above half a window leave windows open: no two share one.
+        given[n] = np.arange(draw.choice([17, 18, 19, 9, 3, 40, 1]), dtype="<u4") + 1000 * n
+        poured += packer.n_open == most_open - 1
+        packer.add(n, given[n].tobytes())
+    packer.finish()
+    assert poured
+    for doc, start, length, total, sequence, _, ids in packer.take():
+        assert total == len(given[doc]) and len(ids) == 4 * length > 0
+        got[doc].append((start, np.frombuffer(ids, "<u4")))
+        filled[sequence] += length
+    assert got.keys() == given.keys()
+    for n, pieces in got.items():
+        pieces.sort(key=lambda x: x[0])
+        ends = np.cumsum([len(ids) for _, ids in pieces])
+        assert [start for start, _ in pieces] == [0, *ends[:-1]]
+        assert np.array_equal(np.concatenate([ids for _, ids in pieces]), given[n])
+    sizes = [filled[s] for s in sorted(filled)]
+    assert all(n & (n - 1) == 0 for n in sizes) and sum(n < 32 for n in sizes) <= 5
+
+
 # --- 6 urls --------------------------------------------------------------------------
 
 
