@@ -288,7 +288,7 @@ def dedup_lines(
     linked others one occurrence stays, the first by (doc_id, line), a null
     doc_id last. With ``counts`` adds n_lines and n_removed (long), in place of
     columns of these names; others are carried along. With ``drop_emptied``
-    documents that lost every line long enough to judge go.
+    documents go that lost a line and have no word left in the others.
 
     A null text stays null, an empty one empty. Rows alike in doc_id and text
     are one document to this operator: what is kept in one is kept in all.
@@ -300,7 +300,7 @@ def dedup_lines(
     lines = line_groups(unique, rule, block_weight)
     lists = (
         lines.groupBy("doc")
-        .agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__gone"), F.max("kept").alias("__some"))
+        .agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__gone"))
         .where(F.size("__gone") > 0)
     )
     joined = keyed.join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
@@ -310,8 +310,9 @@ def dedup_lines(
         "text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
     )
     if drop_emptied:
-        out = out.where(F.coalesce("__some", F.lit(True)))
+        # A word is what find_lines() takes for one: anything but ASCII signs and white space.
+        out = out.where(F.col("__gone").isNull() | F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     if counts:
         out = out.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
         out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.drop("__gone", "__some", "__lines")
+    return out.drop("__gone", "__lines")

@@ -133,6 +133,24 @@ def test_lines_of_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_documents_go_only_when_no_word_is_left(spark):
+    notice = "This notice stands at the head of many files here."
+    texts = {
+        1: notice + "\nreturn a",
+        2: notice + "\nroses red\nviolets blue\n\nso am I",
+        3: f"{notice}\n--\n\n ...",
+        4: notice,
+        5: notice + "\né",
+        6: "...",
+        7: "",
+        8: None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, drop_emptied=True).collect()}
+    assert left == {1: texts[1], 2: "roses red\nviolets blue\n\nso am I", 5: "é", 6: "...", 7: "", 8: None}
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, df, None).collect()} == {1, 2, 5, 6, 7, 8}
+
+
 # --- 2 n-gram join ----------------------------------------------------------------
 
 
