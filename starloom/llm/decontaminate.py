@@ -1,9 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check."""
+"""Benchmark decontamination: runs of bytes that outlast the edits, CGK embedding, bit-sampling LSH, exact edit check."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -12,13 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from starloom.llm.common import mix, prefix_sums, span_hash, text_slices, word_spans
+from starloom.llm.common import text_slices, word_spans
 from starloom.llm.editing import best_substring
 from starloom.llm.line_dedup import _BETWEEN as BETWEEN
 from starloom.llm.line_dedup import _normal as normal_bytes
 from starloom.llm.line_dedup import normal_line
 
-SEED_WORDS = 3
+# Items with fewer words prove nothing.
+LEAST_WORDS = 3
+# A seed is at most so many bytes, and shorter if fewer than so many of an edited item's would be left.
+SEED_BYTES = 8
+LEAST_SHARED = 12
+# Items as long as this or longer lose the same share of their seeds.
+LONG_ITEM = 1_000
 # Characters of benchmark items that travel to the tasks at once.
 BLOCK_CHARS = 4_000_000
 _LEAK = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("end", LongType()), StructField("similarity", DoubleType())])
@@ -27,8 +34,10 @@ _LEAK = StructType([StructField("item_id", LongType()), StructField("start", Lon
 class LeakRule(NamedTuple):
     """Windows leak an item at ``similarity`` (1 - edits / characters) or more.
 
-    ``sampled`` places of ``walks`` embeddings make a key; as many keys are
-    taken as a window at the least similarity needs for ``recall``.
+    Windows are laid where as many seeds of an item stand as are left of it at
+    the least similarity, edits falling anywhere, for ``recall``. ``sampled``
+    places of ``walks`` embeddings make a key; as many keys are taken as a
+    window at the least similarity needs for ``recall``.
     """
 
     similarity: float = 0.8
@@ -60,26 +69,94 @@ def _walks(steps: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(97)).integers(0, 2, (n, steps, 256), dtype=np.int8)
 
 
+@lru_cache(maxsize=None)
+def _seeds_left(size: int, edits: int, width: int, seed: int, miss: float) -> int:
+    """Seeds that all but ``miss`` of the copies of an item keep whose edits, ``width`` bytes each, fall anywhere."""
+    if size > LONG_ITEM:
+        return _seeds_left(LONG_ITEM, -(-edits * LONG_ITEM // size), width, seed, miss) * size // LONG_ITEM
+    draws = np.random.default_rng(size).random((1_000, size))
+    hit = np.zeros((len(draws), size + width), np.int64)
+    if edits:
+        places = np.argpartition(draws, edits, axis=1)[:, :edits]
+        for k in range(width):
+            hit[np.arange(len(draws))[:, None], places + k] = 1
+    before = np.cumsum(np.pad(hit[:, :size], ((0, 0), (1, 0))), axis=1)
+    left = (before[:, seed:] == before[:, : size + 1 - seed]).sum(axis=1)
+    return int(np.quantile(left, miss, method="lower"))
+
+
+def _packed(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, the first one lowest."""
+    out, have = body.astype(np.uint64), 1
+    while have < 8:
+        out[:-have] |= out[have:] << np.uint64(8 * have)
+        have *= 2
+    return out
+
+
+class Seeds(NamedTuple):
+    """Runs of ``size`` bytes, where each one's items begin in the lists, and the items and places in them."""
+
+    size: int
+    known: np.ndarray
+    bounds: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    maybe: np.ndarray
+
+    def cut(self, packed: np.ndarray) -> np.ndarray:
+        return packed & np.uint64((1 << 8 * self.size) - 1)
+
+    @staticmethod
+    def spread(seeds: np.ndarray) -> np.ndarray:
+        return ((seeds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+class Region(NamedTuple):
+    """A part of the texts that may hold an item, and where windows of its size begin there."""
+
+    item: int
+    low: int
+    high: int
+    windows: list[int]
+
+
 class BenchmarkIndex:
     """Items of one block: their seeds, embeddings' keys and texts."""
 
     def __init__(self, items: list[tuple[int, str]], rule: LeakRule):
         self.rule = rule
         given = [(i, normal_line(t or "")) for i, t in items]
-        self.items = [(i, t) for i, t in given if t.count(" ") >= SEED_WORDS - 1]
+        self.items = [(i, t) for i, t in given if t.count(" ") >= LEAST_WORDS - 1]
         self.encoded = [t.encode() for _, t in self.items]
-        self.words = [t.count(" ") + 1 for _, t in self.items]
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for n, text in enumerate(self.encoded):
-            for at, h in enumerate(_seed_hashes(*_words_of(text))[0].tolist()):
-                seeds.setdefault(h, []).append((n, at))
-        self.seeds = seeds
-        self.known = np.array(sorted(seeds), np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        self.sizes = np.array([len(e) for e in self.encoded], np.int64)
+        # A little more than the rule allows, as similarities are rounded; bytes an edit may touch.
+        allowed = [int((1 - rule.similarity) * len(t) + 1e-6) for _, t in self.items]
+        widths = [-(-len(e) // len(t)) for e, (_, t) in zip(self.encoded, self.items, strict=True)]
+        self.reach = np.array([e * w for e, w in zip(allowed, widths, strict=True)], np.int64)
+        self.least = np.ones(len(self.items), np.int64)
+        chosen = np.zeros(len(self.items), np.int64)
+        for n, (size, edits, width) in enumerate(zip(self.sizes.tolist(), allowed, widths, strict=True)):
+            for chosen[n] in range(min(SEED_BYTES, size), 0, -1):
+                self.least[n] = max(1, _seeds_left(size, edits, width, int(chosen[n]), (1 - rule.recall) / 4))
+                if self.least[n] >= LEAST_SHARED:
+                    break
+        self.seeds = [self._listed(n, np.flatnonzero(chosen == n).tolist()) for n in sorted(set(chosen.tolist()))]
         if self.items:
             self._embed()
 
+    def _listed(self, size: int, own: list[int]) -> Seeds:
+        empty = Seeds(size, *[np.zeros(0, np.int64)] * 5)
+        found = [empty.cut(_packed(np.frombuffer(self.encoded[n], np.uint8)))[: len(self.encoded[n]) - size + 1] for n in own]
+        item = np.repeat(own, [len(x) for x in found])
+        place = np.concatenate([np.arange(len(x)) for x in found])
+        seeds = np.concatenate(found)
+        order = np.argsort(seeds, kind="stable")
+        known, first = np.unique(seeds[order], return_index=True)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[Seeds.spread(known)] = True
+        return Seeds(size, known, np.append(first, len(seeds)), item[order], place[order], maybe)
+
     def _embed(self) -> None:
         rule = self.rule
         self.lengths = np.array([3 * len(e) for e in self.encoded])
@@ -112,40 +189,69 @@ class BenchmarkIndex:
             hit[todo] = same.all(axis=2).any(axis=1)
         return hit
 
-    def windows(self, seeds: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, first word) of item-sized windows that share seeds with an item."""
-        places = np.flatnonzero(self.maybe[(seeds >> np.uint64(44)).astype(np.int64)])
-        places = places[np.isin(seeds[places], self.known)]
-        text = np.searchsorted(first, places, side="right") - 1
-        starts: dict[tuple[int, int], dict[int, int]] = {}
-        for place, t in zip(places.tolist(), text.tolist(), strict=True):
-            for item, at in self.seeds[int(seeds[place])]:
-                counts = starts.setdefault((t, item), {})
-                counts[place - at] = counts.get(place - at, 0) + 1
-        out = []
-        for (t, item), counts in starts.items():
-            slack = max(2, self.words[item] // 5)
-            group: list[int] = []
-            for start in [*sorted(counts), 1 << 60]:
-                if group and start - group[0] > slack:
-                    out.append((t, item, max(group, key=lambda s: (counts[s], -s))))
-                    group = []
-                group.append(start)
+    def regions(self, body: np.ndarray) -> list[Region]:
+        """Where enough seeds of an item stand as far apart as its edits allow."""
+        packed, out = _packed(body), []
+        for seeds in self.seeds:
+            runs = seeds.cut(packed)
+            spots = np.flatnonzero(seeds.maybe[Seeds.spread(runs)])
+            at = np.minimum(np.searchsorted(seeds.known, runs[spots]), len(seeds.known) - 1)
+            same = seeds.known[at] == runs[spots]
+            spots, at = spots[same], at[same]
+            many = seeds.bounds[at + 1] - seeds.bounds[at]
+            entry = np.repeat(seeds.bounds[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out.extend(self._dense(np.repeat(spots, many), seeds.item[entry], seeds.place[entry], len(body)))
         return out
 
-
-def _words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, first = word_spans(data, np.array([0, len(data)]), BETWEEN)
-    return data, starts, ends
-
-
-def _seed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray]:
-    h = span_hash(prefix_sums(data), starts, ends)
-    rolled = np.zeros(max(0, len(h) - SEED_WORDS + 1), np.uint64)
-    for k in range(SEED_WORDS):
-        rolled = mix(rolled + h[k : k + len(rolled)]) + np.uint64(2 * k + 1)
-    return (rolled,)
+    def _dense(self, spots: np.ndarray, item: np.ndarray, place: np.ndarray, n: int) -> Iterator[Region]:
+        # Seeds of one passage begin their item at places no further apart than its edits reach: in two bands in a row.
+        begin = spots - place + self.sizes[item]
+        step = self.reach + 1
+        band = begin // step[item] + 1
+        # First by a table that may add the counts of other bands.
+        cell = ((item * 0x9E3779B1 + band) & 0xFFFFF) + 1
+        counts = np.bincount(cell, minlength=(1 << 20) + 2)
+        counts[0], counts[-1] = counts[-2], counts[1]
+        some = counts[cell] + np.maximum(counts[cell - 1], counts[cell + 1]) >= self.least[item]
+        begin, item, place, band = begin[some], item[some], place[some], band[some]
+        room = ((n + self.sizes) // step + 3) * self.sizes
+        base = np.concatenate(([0], np.cumsum(room)))
+        keys = base[item] + band * self.sizes[item] + place
+        both = np.concatenate((keys, keys - self.sizes[item]))
+        both, first = np.unique(both, return_index=True)
+        if not len(both):
+            return
+        item, begin = np.tile(item, 2)[first], np.tile(begin, 2)[first]
+        band = (both - base[item]) // self.sizes[item]
+        cuts = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
+        ends = np.append(cuts[1:], len(both))
+        own = ends - cuts >= self.least[item[cuts]]
+        last = None
+        for a, b in zip(cuts[own].tolist(), ends[own].tolist(), strict=True):
+            i, at = int(item[a]), int(band[a]) - 1
+            size, reach = int(self.sizes[i]), int(self.reach[i])
+            low, high = at * (reach + 1) - size - reach, (at + 2) * (reach + 1) + reach
+            window = sorted(begin[a:b].tolist())[(b - a) // 2] - size
+            if last and last.item == i and low <= last.low + (len(last.windows)) * (reach + 1):
+                last.windows.append(window)
+                last = last._replace(high=high)
+                continue
+            if last:
+                yield last
+            last = Region(i, low, high, [window])
+        if last:
+            yield last
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a blank before each, and where they begin."""
+    lengths = ends - starts
+    begins = np.cumsum(lengths + 1) - lengths
+    body = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
+    word = np.ones(len(body), bool)
+    word[begins - 1] = False
+    body[word] = data[~BETWEEN[data]]
+    return body, begins
 
 
 def _edited(text: bytes, edits: int, draw: np.random.Generator) -> bytes:
@@ -166,54 +272,53 @@ def _find(index: BenchmarkIndex, column: pa.Array) -> dict[int, list[dict]]:
     rule = index.rule
     data, offsets = normal_bytes(column)
     starts, ends, first = word_spans(data, offsets, BETWEEN)
-    if len(starts) < SEED_WORDS:
+    if len(starts) < LEAST_WORDS - 1:
         return {}
-    (seeds,) = _seed_hashes(data, starts, ends)
-    # Seeds over the end of a text mean nothing.
-    owner = np.searchsorted(first, np.arange(len(seeds)), side="right")
-    seeds = np.where(owner == np.searchsorted(first, np.arange(len(seeds)) + SEED_WORDS - 1, side="right"), seeds, np.uint64(0))
-    found = index.windows(seeds, first[:-1])
-    if not found:
+    body, begins = _joined(data, starts, ends)
+    # A text goes from its first word to the blank before the next one's; seeds over its end only add windows.
+    opens = np.append(begins, len(body) + 1)[first]
+    which, windows, spans = [], [], []
+    for region in index.regions(body):
+        t = max(0, int(np.searchsorted(opens, region.low, side="right")) - 1)
+        while t < len(opens) - 1 and opens[t] < region.high:
+            low, high = max(region.low, int(opens[t])), min(region.high, int(opens[t + 1]) - 1)
+            for at in region.windows if low < high else ():
+                a, b = max(at, int(opens[t])), min(at + int(index.sizes[region.item]), int(opens[t + 1]) - 1)
+                if a < b:
+                    which.append(region.item)
+                    windows.append(body[a:b].tobytes())
+                    spans.append((t, low, high))
+            t += 1
+    if not which:
         return {}
-    texts, which = [], np.array([item for _, item, _ in found])
-    spans = []
-    for t, item, start in found:
-        low = max(int(first[t]), start)
-        high = min(int(first[t + 1]), start + index.words[item])
-        spans.append((low, high))
-        texts.append(_join(data, starts, ends, low, high))
+    hits = np.flatnonzero(index.collides(np.array(which), windows)).tolist()
     best: dict[tuple[int, int], dict] = {}
-    for n in np.flatnonzero(index.collides(which, texts)).tolist():
-        t, item, _ = found[n]
+    for (t, low, high), item in sorted({(spans[n], which[n]) for n in hits}):
         pattern = index.items[item][1]
-        # A few words around: the window may begin beside the passage.
-        low, high = spans[n]
-        room = max(2, index.words[item] // 5)
-        wide = (max(int(first[t]), low - room), min(int(first[t + 1]), high + room))
-        edits, _ = best_substring(pattern, _join(data, starts, ends, *wide).decode("utf-8", "replace"))
+        text = body[low:high].tobytes().decode("utf-8", "replace")
+        edits, end = best_substring(pattern, text)
         similarity = 1 - edits / len(pattern)
-        leak = {"item_id": index.items[item][0], "start": low - int(first[t]), "end": high - int(first[t]), "similarity": similarity}
         if similarity >= rule.similarity and similarity > best.get((t, item), {"similarity": 0})["similarity"]:
-            best[(t, item)] = leak
+            length = best_substring(pattern[::-1], text[:end][::-1])[1]
+            bounds = (low + len(text[: end - length].encode()), low + len(text[:end].rstrip(" ").encode()))
+            start, stop = np.searchsorted(begins, bounds, side="right") - (1, 0)
+            best[(t, item)] = {"item_id": index.items[item][0], "start": max(0, int(start - first[t])), "end": int(stop - first[t]), "similarity": similarity}
     out: dict[int, list[dict]] = {}
     for (t, _), leak in sorted(best.items()):
         out.setdefault(t, []).append(leak)
     return out
 
 
-def _join(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, high: int) -> bytes:
-    return b" ".join(data[a:b].tobytes() for a, b in zip(starts[low:high], ends[low:high], strict=True))
-
-
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(), out: str = "leaks"
 ) -> DataFrame:
     """Add ``leaks`` (or ``out``) to each document: the benchmark items it holds, and where.
 
     Texts are compared as words without case, signs and white space, digits
-    alike. Item-sized windows are laid where three words in a row of an item
-    stand in a document; a window whose embedding falls into a bucket of the
-    item is verified by its exact edit similarity. start and end count words.
+    alike. Item-sized windows are laid where as many short runs of an item's
+    bytes stand as edits at the least similarity leave of it; a window whose
+    embedding falls into a bucket of the item is verified by the exact edit
+    similarity of the text around. start and end count words.
     leaks is an empty array for clean documents and null or empty texts. An item
     with fewer than three words, a null text or a null id proves nothing and is
     never found. Repeated rows and items are each judged. Documents are scanned

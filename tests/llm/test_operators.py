@@ -457,6 +457,34 @@ def test_leaks_found_and_clean_documents_left(spark, docs):
     assert len(expected - got) <= 1 and not got - expected
 
 
+def test_leaks_near_the_least_similarity_against_brute_force(spark, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    normal = [(i, line_dedup.normal_line(t)) for i, t in items]
+    draw, rows = random.Random(9), []
+    for i, text in normal:
+        for percent in (10, 15, 18, 20):  # characters replaced anywhere, as typos and OCR errors are
+            edited = list(text)
+            for at in draw.sample(range(len(text)), percent * len(text) // 100):
+                edited[at] = draw.choice([c for c in "abcdefghij" if c != edited[at]])
+            around = draw.choice(list(docs.values()))[:300]
+            rows.append((1000 * i + percent, f"{around}\n{''.join(edited)}\n{around}"))
+    expected = set()
+    for doc, text in rows:
+        whole = line_dedup.normal_line(text)
+        expected |= {(doc, i) for i, t in normal if 5 * best_substring(t, whole)[0] <= len(t)}
+    assert len(expected) >= len(rows) - 2
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    got, texts = set(), dict(rows)
+    for r in found.collect():
+        for leak in r.leaks:
+            got.add((r.doc_id, leak.item_id))
+            words = line_dedup.normal_line(texts[r.doc_id]).split(" ")[leak.start : leak.end]
+            assert 5 * best_substring(dict(normal)[leak.item_id], " ".join(words))[0] <= len(dict(normal)[leak.item_id])
+    assert got <= expected and len(got) >= 0.98 * len(expected)
+
+
 def test_leaks_of_odd_rows(spark, odd):
     items = [(1, "a null id with a text of its own"), (2, None), (None, "one line with quite some words here"), (3, ""), (4, "two words")]
     found = decontaminate.find_leaks(odd, spark.createDataFrame(items, "item_id long, text string"))
