@@ -19,6 +19,13 @@ from starloom.llm.common import column_bytes, text_slices
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Words before a value that speak for a credential.
 CREDENTIAL_WORDS = frozenset(("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"))
+# What such a word is assigned: any signs but white space and quotes, four or more. The sign is sought first, as it is rare.
+_ASSIGNED = re.compile(r"[:=]+>?[ \t]*[\"'`]?(?=([^\s\"'`<>=:][^\s\"'`<>]{3,}))")
+_NAMED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(CREDENTIAL_WORDS)) + r")[\"'`]?[ \t]*$", re.IGNORECASE)
+_CLOSING = ",;.)]}"
+# Strings of several kinds of signs that are no secrets by their form.
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_PARTS = re.compile(r"/?(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))+/?")
 _BEFORE = re.compile(r"([A-Za-z]+)?([^A-Za-z\n]*)$")
 GRAM_BITS = 18
 SOURCE_BUCKETS = 16
@@ -69,9 +76,29 @@ def common_grams(docs: DataFrame, share: float = 2e-6) -> np.ndarray:
     return counts > share * max(1, counts.sum())
 
 
-def describe(text: str, found: re.Match, source: str, common: np.ndarray) -> tuple:
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where candidates start and end: assigned values, and long runs that overlap none of them."""
+    out = []
+    for found in _ASSIGNED.finditer(text):
+        low, high = found.span(1)
+        if out and low < out[-1][1] or not _NAMED.search(text[max(0, found.start() - 40) : found.start()]):
+            continue
+        high = low + len(found[1].rstrip(_CLOSING))
+        if high - low >= 4:
+            out.append((low, high))
+    given = [*out, (len(text) + 1, len(text) + 1)]
+    at = 0
+    for found in CANDIDATE.finditer(text):
+        while given[at][1] <= found.start():
+            at += 1
+        if given[at][0] >= found.end():
+            out.append(found.span())
+    return sorted(out)
+
+
+def describe(text: str, start: int, end: int, source: str, common: np.ndarray) -> tuple:
     """Features of a candidate, its place and value, and what plain rules say of it."""
-    value, start = found[0], found.start()
+    value = text[start:end]
     data = np.frombuffer(value.encode(), np.uint8)
     digit = (data >= 0x30) & (data <= 0x39)
     upper = (data >= 0x41) & (data <= 0x5A)
@@ -89,6 +116,8 @@ def describe(text: str, found: re.Match, source: str, common: np.ndarray) -> tup
         weak = 0
     elif credential and assigned and digit.any():
         weak = 1
+    elif not credential and (_UUID.fullmatch(value) or _PARTS.fullmatch(value)):
+        weak = 0
     return (
         float(n),
         digit.mean(),
@@ -112,9 +141,11 @@ def describe(text: str, found: re.Match, source: str, common: np.ndarray) -> tup
 def find_candidates(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """Every candidate of every whole text, with its features and weak label.
 
-    Candidates are runs of 16 or more letters, digits and ``+/_=-``. The weak
-    label is 1 for a value with a digit that a credential word is assigned, 0
-    for plain words and plain numbers, and null for the others.
+    Candidates are values of four or more signs that a credential word is
+    assigned, and elsewhere runs of 16 or more letters, digits and ``+/_=-``.
+    The weak label is 1 for a value with a digit that a credential word is
+    assigned, 0 for plain words and numbers and, without such a word, UUIDs and
+    paths and slugs of them, and null for the others.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
     numbers = ", ".join(f"{c} double" for c in FEATURES)
@@ -124,8 +155,8 @@ def find_candidates(docs: DataFrame, common: np.ndarray) -> DataFrame:
             rows, owner = [], []
             texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
             for n, (text, source) in enumerate(zip(texts, sources, strict=True)):
-                for found in CANDIDATE.finditer(text or ""):
-                    rows.append(describe(text, found, source, shared.value))
+                for start, end in spans(text or ""):
+                    rows.append(describe(text, start, end, source, shared.value))
                     owner.append(n)
             if rows:
                 kinds = [*[pa.float64()] * len(FEATURES), pa.int64(), pa.string(), pa.int32()]

@@ -209,6 +209,24 @@ def test_secrets_found_and_words_left(spark):
     assert secret_scan.scan_secrets(df.where("doc_id >= 101")).count() == 0
 
 
+def test_short_and_signed_secrets_are_found_and_mixed_strings_left(spark):
+    draw = random.Random(10)
+    text = lambda signs, n: "".join(draw.choice(signs) for _ in range(n))
+    rows, expected, uuids = [], set(), set()
+    for i in range(60):
+        short, odd = f"{text('abcdefgh', 4)}{i}{text('XYZ', 3)}", f"{text('abcdefgh', 5)}.{i}@{text('XYZ', 4)}!x"
+        uuid = "-".join(text("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+        slug = f"2024/0{1 + i % 9}/some-{draw.choice(('old', 'new'))}-title-{i}"
+        rows.append((i, f'password = "{short}" and {{"secret": "{odd}"}}, then request {uuid} for {slug} here', None))
+        expected |= {(i, short), (i, odd)}
+        uuids |= {(i, uuid), (i, slug)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.scan_secrets(df).collect()
+    assert {(r.doc_id, r.value) for r in found if r.is_secret} == expected
+    assert uuids <= {(r.doc_id, r.value) for r in found}
+    assert all(rows[r.doc_id][1][r.start : r.start + r.length] == r.value for r in found)
+
+
 def test_secrets_of_odd_rows(spark, odd):
     assert not secret_scan.scan_secrets(odd).where("is_secret").count()
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
