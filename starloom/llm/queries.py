@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import table
 from starloom.llm.decontaminate import find_leaks
+from starloom.llm.exact_dedup import exact_groups
 from starloom.llm.line_dedup import dedup_lines
+from starloom.llm.manifest import folded_root, hex_text, leaf_digest, merkle_manifest, proof_siblings
 from starloom.llm.ngram_join import Jaccard, ngram_components
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import judge_quality
 from starloom.llm.secret_scan import scan_secrets
 from starloom.llm.sharding import shard_documents
+from starloom.llm.spelling import count_words, group_spellings, letter_runs, thinned
 from starloom.llm.suffix_dedup import remove_repeats
 from starloom.llm.toxicity import score_toxicity, train_toxicity
 from starloom.llm.url_filter import Rule, filter_urls
@@ -112,3 +115,34 @@ def op9_decontaminate(spark, sf_dir):
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark, sf_dir):
+    """Documents whose id's crc32 is divisible by 7 are verified with n_chars one higher."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    n_chars = F.col("n_chars") + F.when(tampered, 1).otherwise(0)
+    leaf = lambda n: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    docs = table(spark, sf_dir, "documents")
+    manifest = merkle_manifest(docs, leaf(F.col("n_chars")), also={"given": leaf(n_chars)})
+    folded = manifest.withColumn("folded", folded_root(F.col("given")))
+    return folded.select(
+        "doc_id",
+        hex_text("digest").alias("leaf"),
+        hex_text("subroot").alias("subroot"),
+        hex_text("root").alias("root"),
+        F.sha2(proof_siblings(), 256).alias("proof_sha256"),
+        hex_text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_exact_dedup")
+def op12_exact_dedup(spark, sf_dir):
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    runs = letter_runs(table(spark, sf_dir, "documents"), least=7)
+    return group_spellings(count_words(runs.select(thinned(runs).alias("word"))))

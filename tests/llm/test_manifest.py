@@ -1,0 +1,117 @@
+"""The Merkle manifest against a plain tree, on small tables and odd rows."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.llm.manifest import folded_root, hex_text, leaf_digest, merkle_manifest, proof_siblings
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return sha("".join("-" if row[f] is None else f"{len(str(row[f]).encode())}:{row[f]}" for f in FIELDS))
+
+
+def plain_tree(leaves, arity):
+    """The root, and for each leaf its siblings level by level."""
+    proofs = [[] for _ in leaves]
+    under = [[i] for i in range(len(leaves))]
+    nodes = list(leaves)
+    while len(nodes) > 1:
+        runs = [range(i, min(i + arity, len(nodes))) for i in range(0, len(nodes), arity)]
+        for run in runs:
+            for node in run:
+                for leaf in under[node]:
+                    proofs[leaf] += [nodes[other] for other in run if other != node]
+        under = [[leaf for node in run for leaf in under[node]] for run in runs]
+        nodes = [sha("".join(nodes[node] for node in run)) for run in runs]
+    return nodes[0], proofs
+
+
+def plain_manifest(rows, arity):
+    groups = {}
+    for row in rows:
+        groups.setdefault(row["lang"], []).append(row)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, plain_leaf(r))
+    sorted_groups = {lang: sorted(groups[lang], key=order) for lang in langs}
+    trees = {lang: plain_tree([plain_leaf(r) for r in sorted_groups[lang]], arity) for lang in langs}
+    root, above = plain_tree([trees[lang][0] for lang in langs], arity)
+    return sorted(
+        (r["doc_id"] is not None, r["doc_id"] or 0, plain_leaf(r), trees[lang][0], root, sha("".join(proof + above[k])))
+        for k, lang in enumerate(langs)
+        for r, proof in zip(sorted_groups[lang], trees[lang][1], strict=True)
+    )
+
+
+def leaf_of(n_chars=None):
+    return leaf_digest(*[n_chars if f == "n_chars" and n_chars is not None else F.col(f) for f in FIELDS])
+
+
+def made(df, arity):
+    manifest = merkle_manifest(df, leaf_of(), arity=arity).withColumn("folded", folded_root(F.col("digest"), arity))
+    rows = manifest.select(
+        "doc_id",
+        hex_text("digest").alias("leaf"),
+        hex_text("subroot").alias("subroot"),
+        hex_text("root").alias("root"),
+        F.sha2(proof_siblings(), 256).alias("proof"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    ).collect()
+    assert all(r.verified for r in rows)
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.leaf, r.subroot, r.root, r.proof) for r in rows)
+
+
+@pytest.mark.parametrize("arity", [2, 3, 5])
+@pytest.mark.parametrize("sizes", [(1,), (2, 1), (7, 16, 1, 33), (300, 17)])
+def test_manifest_against_plain_tree(spark, arity, sizes):
+    draw = random.Random(sum(sizes) + arity)
+    rows, ids = [], iter(draw.sample(range(10_000), sum(sizes)))
+    for k, size in enumerate(sizes):
+        rows += [(next(ids), f"text {draw.random()}", [None, "é", "en", "z"][k], "s", draw.randrange(99)) for _ in range(size)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert made(df, arity) == plain_manifest([r.asDict() for r in df.collect()], arity)
+
+
+def test_manifest_of_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, every second row without id."""
+    long = "wä " * 200_000
+    rows = [(1, "a", "en", None, 1), (1, "a", "en", None, 1), (2, None, None, None, None), (3, "", None, "-", 0), (4, long, "", "x", 5)]
+    rows += [(None, f"t{i % 3}", "en", "s", None) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("tree", "idx", "n", "digest", "path", "order", "group", "row", "others", "at", "own"):
+        df = df.withColumn(name, F.lit("clash"))
+    expected = plain_manifest([{f: r[f] for f in FIELDS} for r in df.collect()], 2)
+    assert made(df, 2) == expected
+
+
+def test_empty_manifest(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert merkle_manifest(empty, leaf_of()).collect() == []
+
+
+def test_any_changed_leaf_is_found(spark):
+    rows = [(i, f"text {i}", "en" if i % 4 else None, "s", i if i % 5 else None) for i in range(60)]
+    given = leaf_of(F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0))
+    manifest = merkle_manifest(spark.createDataFrame(rows, SCHEMA), leaf_of(), also={"given": given})
+    checked = manifest.select("doc_id", (folded_root(F.col("given")) == F.col("root")).alias("ok")).collect()
+    # A null count stays null, so these rows are as they were.
+    assert {r.doc_id for r in checked if not r.ok} == {i for i in range(60) if i % 7 == 0 and i % 5}
+
+
+def test_no_task_holds_a_hot_group(spark):
+    """Equal ids spread over range partitions, and no window holds the rows of a group."""
+    rows = spark.range(20_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")
+    )
+    manifest = merkle_manifest(rows, leaf_of())
+    assert manifest.agg(F.count_distinct("idx"), F.max("idx")).first() == (20_000, 19_999)
+    assert "Window" not in manifest._jdf.queryExecution().executedPlan().toString()

@@ -1,0 +1,117 @@
+"""Spelling variants against every pair of words, on random vocabularies and odd rows."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.llm.editing import edit_distance
+from starloom.llm.spelling import _met, count_words, group_spellings, letter_runs, near_words, thinned
+
+
+def plain_groups(words, ratio=10):
+    out = {}
+    near = {w: [x for x in words if abs(len(x) - len(w)) <= 1 and x != w and edit_distance(w, x) == 1] for w in words}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        out[w] = best if best is not None and words[best] >= ratio * n else None
+    found = {}
+    for w, n in words.items():
+        root = w
+        while out[root] is not None:
+            root = out[root]
+        found[w] = (out[w], root, n, len(near[w]), words[out[w]] if out[w] else None)
+    return found
+
+
+def made(df, **options):
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in group_spellings(df, **options).collect()}
+
+
+def vocabulary(draw, letters, shortest, longest, size):
+    """Words, and words one or two edits from these."""
+    words = Counter()
+    while len(words) < size:
+        base = "".join(draw.choice(letters) for _ in range(draw.randint(shortest, longest)))
+        words[base] += draw.choice([1, 3, 40, 500, 6000])
+        for _ in range(draw.randrange(8)):
+            i, how = draw.randrange(len(base) + 1), draw.randrange(3)
+            if draw.random() < 0.3 and len(base) > shortest:
+                i = draw.choice([0, len(base) - 1, len(base) // 2])
+            edited = base[:i] + (draw.choice(letters) if how else "") + base[i + (how < 2) :]
+            if edited:
+                words[edited] += draw.choice([1, 2, 30])
+                base = draw.choice([base, edited])
+    return dict(words)
+
+
+@pytest.mark.parametrize(
+    ("letters", "shortest", "longest", "symbols"),
+    [("ab", 1, 9, 3), ("abcdefgh", 6, 9, 3), ("aé\U0001f600z", 5, 12, 2), ("abc", 7, 8, 10), ("abcdefghijklm", 7, 20, 4)],
+)
+def test_groups_against_all_pairs(spark, letters, shortest, longest, symbols):
+    words = vocabulary(random.Random(len(letters)), letters, shortest, longest, 350)
+    df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(5)
+    assert made(df, symbols=symbols) == plain_groups(words)
+
+
+def test_each_pair_is_named_once_each_way(spark):
+    words = vocabulary(random.Random(9), "aab", 7, 10, 300)
+    pairs = [(r.word, r.other) for r in near_words(spark.createDataFrame(list(words.items()), "word string, n long")).collect()]
+    assert len(pairs) == len(set(pairs)) and {(b, a) for a, b in pairs} == set(pairs)
+    assert set(pairs) == {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) < 2 and edit_distance(a, b) == 1}
+
+
+def test_long_chains_of_forms(spark):
+    """Each word is ten times as frequent as the one before: the root is the end of the chain."""
+    words = {"a" * (30 - i): 2 * 10**i for i in range(12)}
+    found = made(spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert found == plain_groups(words) and {x[1] for x in found.values()} == {"a" * 19}
+
+
+def test_words_of_documents(spark):
+    """Nulls, empty and long texts, repeated rows, signs next to letters, and columns named like added ones."""
+    rows = [(1, "Naïveté naïveté NAÏVETÉ; x×y÷zzzz École"), (1, "Naïveté naïveté"), (None, "naïveté"), (2, None), (3, ""), (4, "abcdefgh1abcdefgh_" * 3), (5, "lettering " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("word", "run", "n", "words"):
+        df = df.withColumn(name, F.lit("clash"))
+    runs = letter_runs(df)
+    counted = {r.word: r.n for r in count_words(runs.select(thinned(runs).alias("word"))).collect()}
+    expected = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            expected[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    assert counted == {w: n for w, n in expected.items() if len(w) >= 7 and n >= 2}
+    long = {(r.doc_id, r.run) for r in letter_runs(df, least=7).collect()}
+    assert long == {(r.doc_id, r.run) for r in runs.collect() if len(r.run) >= 7}
+
+
+def test_odd_vocabularies(spark):
+    schema = "word string, n long, r string, deal long, length int"
+    assert group_spellings(spark.createDataFrame([], schema)).collect() == []
+    rows = [(None, 5, "x", 1, 1), ("a", 1, "x", 1, 1), ("b", 10, "x", 1, 1), ("w" * 5000, 3, "x", 1, 1), ("w" * 5001, 30, "x", 1, 1)]
+    assert made(spark.createDataFrame(rows, schema)) == {
+        "a": ("b", "b", 1, 1, 10),
+        "b": (None, "b", 10, 1, None),
+        "w" * 5000: ("w" * 5001, "w" * 5001, 3, 1, 30),
+        "w" * 5001: (None, "w" * 5001, 30, 1, None),
+    }
+    with pytest.raises(ValueError, match="ratio"):
+        group_spellings(spark.createDataFrame(rows, schema), ratio=1)
+
+
+def test_neighbourhoods_are_made_behind_the_shuffle(spark, conf):
+    """The join reads both sides as they were dealt: no generated word is shuffled, and the setting for it goes back."""
+    words = spark.createDataFrame([("abcdefgh", 2), ("abcdefg", 2)], "word string, n long")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    near_words(words)
+    assert spark.conf.get(name) == before
+    conf(spark__sql__requireAllClusterKeysForCoPartition="false", spark__sql__autoBroadcastJoinThreshold="-1")
+    plan = _met(words, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(deal") == plan.count("Exchange") == 2
