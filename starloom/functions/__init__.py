@@ -5,6 +5,7 @@ from starloom.functions.clean import (
     cast_measures,
     normalize_text,
     parse_check,
+    parse_metrics,
     parse_purchase_timestamps,
     parse_timestamp,
     zip_prefix,
@@ -15,6 +16,7 @@ __all__ = [
     "cast_measures",
     "normalize_text",
     "parse_check",
+    "parse_metrics",
     "parse_purchase_timestamps",
     "parse_timestamp",
     "zip_prefix",

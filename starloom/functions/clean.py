@@ -67,11 +67,15 @@ def parse_check(parsed: DataFrame, source: str, target: str) -> DataFrame:
     ``null_dates`` is every NULL result; ``parse_failures`` leaves out the
     rows whose source was NULL to begin with, which ``null_sources`` counts.
     """
+    return parsed.agg(F.count("*").alias("total_orders"), *[m.alias(name) for name, m in parse_metrics(source, target).items()])
+
+
+def parse_metrics(source: str, target: str) -> dict[str, Column]:
+    """The aggregates of :func:`parse_check` but for the row count."""
     failed = F.col(target).isNull()
     empty = F.col(source).isNull()
-    return parsed.agg(
-        F.count("*").alias("total_orders"),
-        F.count_if(failed).alias("null_dates"),
-        F.count_if(failed & ~empty).alias("parse_failures"),
-        F.count_if(empty).alias("null_sources"),
-    )
+    return {
+        "null_dates": F.count_if(failed),
+        "parse_failures": F.count_if(failed & ~empty),
+        "null_sources": F.count_if(empty),
+    }

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# What expressions take from the session when they are analysed.
+ANALYSIS_CONF = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.legacy.timeParserPolicy")
+
+
+@contextmanager
+def pinned(spark: SparkSession) -> Iterator[None]:
+    """Columns made inside take the engine's zone and strictness; the session's own settings come back.
+
+    Spark fixes both when a plan is analysed, so dates do not depend on the
+    caller's zone, also if the plan runs later.
+    """
+    before = {name: spark.conf.get(name, None) for name in ANALYSIS_CONF}
+    for name in ANALYSIS_CONF:
+        spark.conf.set(name, SESSION_CONF[name])
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (

@@ -219,6 +219,7 @@ CHECKS: dict[str, str] = {
     # cleaning
     "cast_measures": "SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, "
     "l_extendedprice::varchar::double AS price, l_tax::varchar::double AS freight_value FROM lineitem",
+    "scan_rejects": "SELECT count(*) AS n_rows, count(*) FILTER (l_linenumber = 3) AS n_rejects FROM lineitem",
     "cast_measures_null": "SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, try_cast(CASE WHEN "
     "l_linenumber = 3 THEN 'abc' ELSE l_extendedprice::varchar END AS double) AS price, "
     "l_tax::varchar::double AS freight_value FROM lineitem",
@@ -290,7 +291,29 @@ CHECKS: dict[str, str] = {
         star=False,
         missing=True,
     ),
+    "run_report": _with(
+        "SELECT (SELECT count(*) FROM raw_orders) AS orders, (SELECT count(*) FROM raw_items) AS order_items, "
+        "(SELECT count(*) FROM raw_customers) AS customers, (SELECT count(*) FROM raw_products) AS products, "
+        "(SELECT count(*) FROM raw_sellers) AS sellers, "
+        f"count(*) FILTER ({ODD_TIME} OR {NO_TIME}) AS null_dates, count(*) FILTER ({ODD_TIME}) AS parse_failures, "
+        f"count(*) FILTER ({NO_TIME}) AS null_sources FROM orders",
+        star=False,
+    ),
     # sinks
+    "publish_fact": _with("SELECT * FROM fact"),
+    "publish_dim_date": _with("SELECT * FROM dim_date"),
+    "publish_verified": _with(
+        "\nUNION ALL\n".join(f"SELECT '{n}' AS \"name\", count(*) AS \"rows\", true AS intact FROM {t}" for n, t in STAR_COUNTS.items())
+    ),
+    "export_text_dims": _with(
+        """SELECT 'dim_sellers' AS "name", '"seller_id","seller_zip_code_prefix","seller_city","seller_state","SellerKey"' AS line
+        UNION ALL SELECT 'dim_sellers', concat('"', seller_id, '","', seller_zip_code_prefix, '","', seller_city, '","',
+            seller_state, '","', "SellerKey", '"') FROM dim_sellers
+        UNION ALL SELECT 'dim_date', '"Date","Year","Month","Day","Weekday","Quarter","DateKey"'
+        UNION ALL SELECT 'dim_date', concat_ws(',', coalesce('"' || "Date"::varchar || '"', ''), coalesce("Year"::varchar, ''),
+            coalesce("Month"::varchar, ''), coalesce("Day"::varchar, ''), coalesce("Weekday"::varchar, ''),
+            coalesce("Quarter"::varchar, ''), '"' || "DateKey" || '"') FROM dim_date"""
+    ),
     "publish_star_counts": _with(_counts(STAR_COUNTS)),
     "sink_full_refresh": _with(_counts(STAR_COUNTS, ", 2::bigint AS version"), dirty=False),
     "export_csv_dim": _with("SELECT * FROM dim_sellers"),

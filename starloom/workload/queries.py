@@ -15,7 +15,7 @@ from starloom.functions import (
     parse_purchase_timestamps,
     zip_prefix,
 )
-from starloom.operators import add_surrogate_key, dedup_natural_key, duplicate_groups, freeze, orphans
+from starloom.operators import add_surrogate_key, dedup_natural_key, duplicate_groups, orphans
 from starloom.plans import (
     build_dim_customers,
     build_dim_date,
@@ -23,13 +23,12 @@ from starloom.plans import (
     build_dim_sellers,
     build_fact_base,
     build_star,
-    marts,
-    quality,
 )
 from starloom.plans.dimensions import sold_dates
+from starloom.run import run_star
 from starloom.session import new_scratch, tune, widen_shuffle
-from starloom.sinks import export_csv, publish_parquet, read_published
-from starloom.sources import SOURCE_SCHEMAS, load_counts, scan_csv
+from starloom.sinks import export_csv, export_text, publish_parquet, read_published, verify_published
+from starloom.sources import SOURCE_SCHEMAS, load_counts, scan_csv, scan_rejects
 from starloom.sources.bench_tables import bench_table, raw_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +61,15 @@ def _star(spark, sf_dir, dirty=True, missing=False, **options):
     return build_star(raw_tables(spark, sf_dir, dirty, missing), **options)
 
 
-def _checked(star) -> DataFrame:
-    return quality.quality_checks(freeze(star.fact_order_items, f"{star.scratch}/fact_order_items"))
+def _row(spark: SparkSession, **values) -> DataFrame:
+    """One row of what a run reported."""
+    return spark.range(1).select(*[F.lit(value).cast("bigint").alias(name) for name, value in values.items()])
+
+
+def _checked(spark, sf_dir, **options) -> DataFrame:
+    """The findings of a run: NULLs are counted while the fact is written."""
+    star = run_star(spark, raw_tables(spark, sf_dir, dirty=True, missing=True), **options)
+    return _row(spark, **star.report.findings)
 
 
 def _plain_time(df: DataFrame, column: str) -> DataFrame:
@@ -99,6 +105,17 @@ def scan_csv_inferred(spark, sf_dir):
     return scan_csv(spark, path, infer_schema=True)
 
 
+@query("scan_rejects")
+def scan_rejects_of_items(spark, sf_dir):
+    """Items of a CSV file whose line numbers 3 are no numbers: rows and rejects over all files."""
+    path = new_scratch(spark)
+    items = raw_tables(spark, sf_dir)["order_items"]
+    number = F.col("order_item_id").cast("string")
+    export_csv(items.withColumn("order_item_id", F.when(number == "3", "three").otherwise(number)), path)
+    found = scan_rejects(spark, path, SOURCE_SCHEMAS["order_items"])
+    return found.agg(F.sum("rows").alias("n_rows"), F.sum("rejects").alias("n_rejects"))
+
+
 # --- cleaning --------------------------------------------------------------
 
 
@@ -277,12 +294,19 @@ def star_counts(spark, sf_dir):
 
 @query("quality_checks")
 def quality_checks(spark, sf_dir):
-    return _checked(_star(spark, sf_dir, missing=True))
+    return _checked(spark, sf_dir)
 
 
 @query("quality_checks_packed")
 def quality_checks_packed(spark, sf_dir):
-    return _checked(_star(spark, sf_dir, missing=True, layout="packed"))
+    return _checked(spark, sf_dir, layout="packed")
+
+
+@query("run_report")
+def run_report(spark, sf_dir):
+    """Rows loaded from each raw table and what became of the purchase times, as a run saw them pass."""
+    report = run_star(spark, raw_tables(spark, sf_dir, dirty=True)).report
+    return _row(spark, **report.loaded, **{name: n for name, n in report.parsed.items() if name != "total_orders"})
 
 
 @query("fact_duplicates")
@@ -339,27 +363,59 @@ def export_csv_dim(spark, sf_dir):
     return scan_csv(spark, path, dim.schema)
 
 
+@query("export_text_dims")
+def export_text_dims(spark, sf_dir):
+    """The lines of two dimensions in the warehouse's export format."""
+    raw = raw_tables(spark, sf_dir, dirty=True)
+    lines = []
+    for name, dim in (("dim_sellers", build_dim_sellers(raw["sellers"])), ("dim_date", _dim_date(spark, sf_dir))):
+        path = new_scratch(spark)
+        export_text(dim, path)
+        lines.append(spark.read.text(path).distinct().select(F.lit(name).alias("name"), F.col("value").alias("line")))
+    return reduce(DataFrame.unionAll, lines)
+
+
+@query("publish_fact")
+def publish_fact(spark, sf_dir):
+    """The published fact, read back with all its columns."""
+    target = new_scratch(spark)
+    publish_parquet(_star(spark, sf_dir).tables(), target)
+    return read_published(spark, target)["fact_order_items"]
+
+
+@query("publish_dim_date")
+def publish_dim_date(spark, sf_dir):
+    target = new_scratch(spark)
+    publish_parquet(_star(spark, sf_dir).tables(), target)
+    return read_published(spark, target)["dim_date"]
+
+
+@query("publish_verified")
+def publish_verified(spark, sf_dir):
+    """Each published table held against the rows and digest taken when it was written."""
+    target = new_scratch(spark)
+    publish_parquet(_star(spark, sf_dir).tables(), target)
+    return verify_published(spark, target)
+
+
 # --- rollups ---------------------------------------------------------------
 
 
 @query("mart_sales_by_month")
 def mart_sales_by_month(spark, sf_dir):
-    star = _star(spark, sf_dir, dims=("dim_date",))
-    return marts.sales_by_month(star.fact_order_items, star.dim_date)
+    return _star(spark, sf_dir).rollup("sales_by_month")
 
 
 @query("mart_product_performance")
 def mart_product_performance(spark, sf_dir):
-    star = _star(spark, sf_dir, dims=("dim_products",))
-    return marts.product_performance(star.fact_order_items, star.dim_products)
+    return _star(spark, sf_dir).rollup("product_performance")
 
 
 @query("mart_customer_behavior")
 def mart_customer_behavior(spark, sf_dir):
-    star = _star(spark, sf_dir, dims=("dim_customers",))
-    return marts.customer_behavior(star.fact_order_items, star.dim_customers)
+    return _star(spark, sf_dir).rollup("customer_behavior")
 
 
 @query("mart_status_mix")
 def mart_status_mix(spark, sf_dir):
-    return marts.status_mix(_star(spark, sf_dir, dims=()).fact_order_items)
+    return _star(spark, sf_dir).rollup("status_mix")

@@ -1,7 +1,7 @@
 """Keys and calendar parts of a published warehouse.
 
-Fixed values: all members of four of its 200 key buckets, and some of its
-calendar rows. A key is bucket * 2^33 + rank, so whole buckets are enough.
+Fixed values: seller ids with their keys, all members of three of the 200 key
+buckets, and some calendar rows. A key is bucket * 2^33 + rank, so whole buckets are enough.
 """
 
 import datetime as dt
@@ -12,29 +12,59 @@ from pyspark.sql import functions as F
 from starloom.functions import calendar_parts
 from starloom.operators import add_surrogate_key
 
-SELLERS_BY_BUCKET = {
-    0: """
-        062ce95fa2ad4dfaedfc79260130565f 0b64bcdb0784abc139af04077d49a20e 0ea22c1cfbdc755f86b9b54b39c16043
-        2009a095de2a2a41626f6c6d7722678d 297d5eccd19fa9a83b2630071ff105e4 4d600e08ecbe08258c79e536c5a42fee
-        6eeed17989b0ae47c9f11ece6f38ea90 791cfcfe22fe4a771ece27f90017da92 8e6cc767478edae941d9bd9eb778d77a
-        9803a40e82e45418ab7fb84091af5231 9b1050e85becf3ae99c1cf4934c9bc5d 9c068d10aca38e85c50202e17b4a7e88
-        a3082f442524a1be452e3189e003b361 a49928bcdf77c55c6d6e05e09a9b4ca5 b3f19518fcec265b2e97af287725f981
-        c522be04e020c1e7b79f3acff36513d5 da7039f29f90ce5b4846ffc0fcc93beb e63e8bfa530fb16910dd6956e592bb81
-        ec8879960bd2221d5c32f8e12f7da711 ff063b022a9a0aab91bad2c9088760b7""",
-    100: """
-        16090f2ca825584b5a147ab24aa30c86 228e4c1a0be164f613d41c24345f9d2c 3d621842b2ed28e2b474132480edac3c
-        3ea00e1dea2b0659dbaf654735929220 42b6488f5b8246d9141712abd4b1b693 49cdc90518a4f82676b38b3c1aa43ff6
-        7139dc5186aa238b006e066d8fbab2e4 89c127985a8b130cfa45c1d36764017a 901b460cdce0c64e471230d7f2f9f3a3
-        95ec4458365c4d11f452ccf538377619 9fbd5666d8618fa571c4230fafa09bd6 d85efbc8eff2b7adf524e2820569adc8
-        eddd1991bd6d9309995a480c39b95137""",
-    199: """
-        01fdefa7697d26ad920e9e0346d4bd1b 10089e9f2fd0c668a8fd4e52e1698888 11305281b50fff20ae8bb473f8e11876
-        1caf283236cd69af44cbc09a0a1e7d32 33c51922b6e3c16b24a8f28e5833c99d 33d677f27a69b84051204ee4ae76eaca
-        3ea08c48e851106d2f584349daba335f 41b14765bd56c8ad10971074380f9c0c 48436dade18ac8b2bce089ec2a041202
-        54583ab379489add547fe47b628db589 5db42a6cd9bf1bf0d3aab9582767f168 94ca168e8bcb407ab85c5da308863027
-        99a54764c341d5dc80b4a8fac4eba3fb c32fc744b9160ac853450488e3cfea93 d93844a9c55ba7ce353388bcf849ea56
-        dc7192adf8ba09569261f4a8d576afe0 f7df46c1e0ec44eed5c6726478da4a17 f84fa566034f5e8e880a07ec624c56af
-        fa40cc5b934574b62717c68f3d678b6d""",
+SELLER_KEYS = {
+    "062ce95fa2ad4dfaedfc79260130565f": 1,
+    "0b64bcdb0784abc139af04077d49a20e": 2,
+    "0ea22c1cfbdc755f86b9b54b39c16043": 3,
+    "2009a095de2a2a41626f6c6d7722678d": 4,
+    "297d5eccd19fa9a83b2630071ff105e4": 5,
+    "4d600e08ecbe08258c79e536c5a42fee": 6,
+    "6eeed17989b0ae47c9f11ece6f38ea90": 7,
+    "791cfcfe22fe4a771ece27f90017da92": 8,
+    "8e6cc767478edae941d9bd9eb778d77a": 9,
+    "9803a40e82e45418ab7fb84091af5231": 10,
+    "9b1050e85becf3ae99c1cf4934c9bc5d": 11,
+    "9c068d10aca38e85c50202e17b4a7e88": 12,
+    "a3082f442524a1be452e3189e003b361": 13,
+    "a49928bcdf77c55c6d6e05e09a9b4ca5": 14,
+    "b3f19518fcec265b2e97af287725f981": 15,
+    "c522be04e020c1e7b79f3acff36513d5": 16,
+    "da7039f29f90ce5b4846ffc0fcc93beb": 17,
+    "e63e8bfa530fb16910dd6956e592bb81": 18,
+    "ec8879960bd2221d5c32f8e12f7da711": 19,
+    "ff063b022a9a0aab91bad2c9088760b7": 20,
+    "16090f2ca825584b5a147ab24aa30c86": 858993459201,
+    "228e4c1a0be164f613d41c24345f9d2c": 858993459202,
+    "3d621842b2ed28e2b474132480edac3c": 858993459203,
+    "3ea00e1dea2b0659dbaf654735929220": 858993459204,
+    "42b6488f5b8246d9141712abd4b1b693": 858993459205,
+    "49cdc90518a4f82676b38b3c1aa43ff6": 858993459206,
+    "7139dc5186aa238b006e066d8fbab2e4": 858993459207,
+    "89c127985a8b130cfa45c1d36764017a": 858993459208,
+    "901b460cdce0c64e471230d7f2f9f3a3": 858993459209,
+    "95ec4458365c4d11f452ccf538377619": 858993459210,
+    "9fbd5666d8618fa571c4230fafa09bd6": 858993459211,
+    "d85efbc8eff2b7adf524e2820569adc8": 858993459212,
+    "eddd1991bd6d9309995a480c39b95137": 858993459213,
+    "01fdefa7697d26ad920e9e0346d4bd1b": 1709396983809,
+    "10089e9f2fd0c668a8fd4e52e1698888": 1709396983810,
+    "11305281b50fff20ae8bb473f8e11876": 1709396983811,
+    "1caf283236cd69af44cbc09a0a1e7d32": 1709396983812,
+    "33c51922b6e3c16b24a8f28e5833c99d": 1709396983813,
+    "33d677f27a69b84051204ee4ae76eaca": 1709396983814,
+    "3ea08c48e851106d2f584349daba335f": 1709396983815,
+    "41b14765bd56c8ad10971074380f9c0c": 1709396983816,
+    "48436dade18ac8b2bce089ec2a041202": 1709396983817,
+    "54583ab379489add547fe47b628db589": 1709396983818,
+    "5db42a6cd9bf1bf0d3aab9582767f168": 1709396983819,
+    "94ca168e8bcb407ab85c5da308863027": 1709396983820,
+    "99a54764c341d5dc80b4a8fac4eba3fb": 1709396983821,
+    "c32fc744b9160ac853450488e3cfea93": 1709396983822,
+    "d93844a9c55ba7ce353388bcf849ea56": 1709396983823,
+    "dc7192adf8ba09569261f4a8d576afe0": 1709396983824,
+    "f7df46c1e0ec44eed5c6726478da4a17": 1709396983825,
+    "f84fa566034f5e8e880a07ec624c56af": 1709396983826,
+    "fa40cc5b934574b62717c68f3d678b6d": 1709396983827,
 }
 LARGEST_SELLER_KEY = 1709396983827
 
@@ -54,15 +84,10 @@ CALENDAR = [
 @pytest.mark.parametrize("width", ["3", "64"])
 def test_packed_layout_gives_the_published_seller_keys(spark, conf, width):
     conf(spark__sql__shuffle__partitions=width)
-    expected = {
-        seller: (bucket << 33) + rank
-        for bucket, sellers in SELLERS_BY_BUCKET.items()
-        for rank, seller in enumerate(sellers.split(), 1)
-    }
-    df = spark.createDataFrame([(s,) for s in expected], "seller_id string")
+    df = spark.createDataFrame([(s,) for s in SELLER_KEYS], "seller_id string")
     keyed = add_surrogate_key(df, "seller_id", "SellerKey", layout="packed")
-    assert {r.seller_id: r.SellerKey for r in keyed.collect()} == expected
-    assert max(expected.values()) == LARGEST_SELLER_KEY
+    assert {r.seller_id: r.SellerKey for r in keyed.collect()} == SELLER_KEYS
+    assert max(SELLER_KEYS.values()) == LARGEST_SELLER_KEY
 
 
 def test_calendar_parts_and_buckets_of_published_dates(spark):
