@@ -189,7 +189,8 @@ def surrogate_key_dense(spark, sf_dir):
 
 @query("surrogate_key_string")
 def surrogate_key_string(spark, sf_dir):
-    return add_surrogate_key(bench_table(spark, sf_dir, "documents").select("text").distinct(), "text", "TextKey")
+    texts = bench_table(spark, sf_dir, "documents").select("text").distinct()
+    return add_surrogate_key(texts, "text", "TextKey", long_text=True)
 
 
 @query("surrogate_key_hex")

@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from starloom.operators import add_surrogate_key
+from starloom.operators.keys import _common_length, _placed
 from starloom.session import drop_scratch, new_scratch
 
 
@@ -62,6 +65,45 @@ def test_packed_ranks_need_no_task_of_a_whole_bucket(spark, conf):
     assert all(r.low == r.b * 2**33 + 1 and r.high == r.b * 2**33 + r.n for r in ranks.collect())
 
 
+def long_texts(spark):
+    """A third of the keys share 4,000 characters, of these a part 6,000 more; one key is the start of the others."""
+    start, more = "a é" * 1333, "\U0001f600b" * 3000
+    keys = [f"{i * 7919 % 1009:04d} own start" for i in range(1000)] + [start, start + more, "", None]
+    keys += [f"{start}{i * 31 % 499:03d}" for i in range(250)] + [f"{start}{more}{i * 17 % 263}" for i in range(250)]
+    return spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+
+
+@pytest.mark.parametrize("layout", ["dense", "packed"])
+def test_ranks_of_long_texts(spark, conf, layout):
+    conf(spark__sql__shuffle__partitions="16", spark__sql__adaptive__coalescePartitions__enabled="false")
+    texts = long_texts(spark)
+    keys = keys_of(texts, layout=layout, long_text=True)
+    assert keys == keys_of(texts, layout=layout)
+    if layout == "dense":
+        ordered = sorted((k for k in keys if k is not None), key=str.encode)
+        assert keys == {k: i for i, k in enumerate([*ordered, None], 1)}
+
+
+def test_texts_that_start_alike_are_parted_and_stay_off_the_driver(spark, conf):
+    conf(spark__sql__shuffle__partitions="16", spark__sql__adaptive__coalescePartitions__enabled="false")
+    texts = long_texts(spark)
+    parted = _placed(texts, [], "k", long_text=True)
+    sizes = [r["count"] for r in parted.groupBy(F.shiftright("__place", 33)).count().collect()]
+    assert max(sizes) < 3 * sum(sizes) / 16, sizes
+    # The range shuffle, whose keys the driver samples, sees pieces of the texts alone.
+    for placed in (parted, _placed(texts, [], "k", long_text=False)):
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        bounds = re.search(r"rangepartitioning\((.*)\), REPARTITION", plan)[1]
+        pieces = re.findall(r"substring\(k#\d+, .*?, \d+\)", bounds)
+        assert pieces and "k#" not in re.sub(r"substring\(k#\d+", "", bounds), bounds
+
+
+def test_lengths_shared_by_two_texts(spark):
+    pairs = [("", ""), ("abc", "abd"), ("aé", "aé😀"), ("x", "y"), ("q" * 9999 + "a", "q" * 9999 + "b")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(_common_length(F.col("a"), F.col("b"))).collect()] == [0, 2, 2, 0, 9999]
+
+
 def test_keys_are_bigint_and_come_last(spark):
     df = spark.createDataFrame([("a", 1)], "k string, v int")
     for layout in ("dense", "packed"):
