@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.plans.layout import PART, WHOLE
+
 
 def _exact_sum(column: str) -> Column:
     return F.sum(F.col(column).cast("decimal(18,2)"))
@@ -55,8 +57,17 @@ def _with_orders(fact: DataFrame, *by: str) -> DataFrame:
     """Items, distinct orders and revenue, first per order, then per group.
 
     Two steps, so that a group with a third of the rows spreads by order; and
-    one struct, so that Spark shuffles on all of it, as in the quality checks.
+    one struct, so that Spark shuffles on all of it, as in the quality checks. A
+    fact that lies by order is not shuffled for the first step; the orders that are
+    dealt over several buckets there are few, and counted by their ids.
     """
+    if PART in fact.columns:
+        per_part = fact.groupBy(*by, "order_id", PART).agg(F.count("*").alias("items"), _exact_sum("price").alias("revenue"))
+        whole = F.col(PART) == WHOLE
+        dealt = F.size(F.collect_set(F.when(~whole, F.col("order_id"))))
+        return per_part.groupBy(*by).agg(
+            F.sum("items").alias("items"), (F.count_if(whole) + dealt).alias("orders"), _total("revenue")
+        )
     per_order = fact.groupBy(F.struct(*by, "order_id").alias("g")).agg(
         F.count("*").alias("items"), _exact_sum("price").alias("revenue")
     )

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.plans.layout import PART
+
 logger = logging.getLogger(__name__)
 
 FOREIGN_KEYS = ("CustomerKey", "ProductKey", "SellerKey", "DateKey")
@@ -38,8 +40,9 @@ def null_metrics() -> dict[str, Column]:
 
 
 def repeated_grains(fact: DataFrame) -> DataFrame:
-    """One row: the grain groups with several rows. Only the grain is read and shuffled."""
-    groups = fact.groupBy(F.struct(*GRAIN).alias("grain")).agg(F.count("*").alias("n"))
+    """One row: the grain groups with several rows. Only the grain is read, and shuffled unless the fact lies by it."""
+    grain = [*GRAIN, PART] if PART in fact.columns else [F.struct(*GRAIN).alias("grain")]
+    groups = fact.groupBy(*grain).agg(F.count("*").alias("n"))
     return groups.agg(F.count_if(F.col("n") > 1).alias("duplicates"))
 
 

@@ -19,8 +19,9 @@ from starloom.plans.dimensions import (
     sold_dates,
 )
 from starloom.plans.fact import build_fact
+from starloom.plans.layout import PART, drop_laid_out, freeze_by_grain
 from starloom.plans.quality import quality_checks
-from starloom.session import delete_folder, new_scratch, pinned, side_by_side
+from starloom.session import delete_folder, drop_scratch, new_scratch, pinned, side_by_side
 from starloom.sources.watch import Watch
 
 DIMENSIONS = ("dim_customers", "dim_products", "dim_sellers", "dim_date")
@@ -62,6 +63,7 @@ class Star:
         self.report = None
         self._keying = {"layout": layout, "buckets": buckets}
         self._kept: dict[str, DataFrame] = {}
+        self._laid_out: DataFrame | None = None
         self._lock = threading.RLock()
         seen = watch or (lambda name, df, **metrics: df)
         with pinned(self.spark):
@@ -113,6 +115,26 @@ class Star:
                 self.keep(fact_order_items=freeze(self.fact_order_items, f"{self.scratch}/fact_order_items"))
             return self._kept["fact_order_items"]
 
+    def lay_out_fact(self, buckets: int | None = None) -> DataFrame:
+        """Write the fact below ``scratch`` in buckets by order, once; checks and rollups by order then need no exchange.
+
+        By default as many buckets as a shuffle has partitions. The fact of the
+        star has the same columns as before; the layout is kept beside it.
+        """
+        with self._lock:
+            if self._laid_out is None:
+                buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                order_ids = self._items.select("order_id")
+                path = f"{self.scratch}/fact_by_grain"
+                self._laid_out = freeze_by_grain(self.fact_order_items, order_ids, path, buckets)
+                self.keep(fact_order_items=self._laid_out.drop(PART))
+            return self._laid_out
+
+    def drop(self) -> None:
+        """Delete all that was written below ``scratch``; tables of the star can no longer be read."""
+        drop_laid_out(self.spark, self.scratch)
+        drop_scratch(self.spark, self.scratch)
+
     def keep(self, **tables: DataFrame) -> None:
         """Use these written tables from now on."""
         unknown = set(tables) - set(STAR_TABLES)
@@ -123,7 +145,10 @@ class Star:
     def rollup(self, name: str) -> DataFrame:
         """One of ``ROLLUPS``; only its own dimension is built and read."""
         roll, *dims = ROLLUPS[name]
-        fact = self._kept["fact_order_items"] if "fact_order_items" in self._kept else self.fact(*dims)
+        if self._laid_out is not None:
+            fact = self._laid_out
+        else:
+            fact = self._kept["fact_order_items"] if "fact_order_items" in self._kept else self.fact(*dims)
         return roll(fact, *self.build(*dims).values())
 
     @property
@@ -148,7 +173,7 @@ class Star:
 
     @property
     def quality_checks(self) -> DataFrame:
-        return quality_checks(self.fact_order_items)
+        return quality_checks(self.fact_order_items if self._laid_out is None else self._laid_out)
 
     def tables(self) -> dict[str, DataFrame]:
         """The five tables in publishing order."""

@@ -275,6 +275,7 @@ CHECKS: dict[str, str] = {
     # checks
     "quality_checks": _with(QUALITY, missing=True),
     "quality_checks_packed": _with(QUALITY, missing=True),
+    "quality_checks_by_grain": _with(QUALITY, missing=True),
     "fact_duplicates": _with(
         "SELECT order_id, order_item_id, count(*) AS n FROM base GROUP BY order_id, order_item_id HAVING count(*) > 1",
         dirty=False,
@@ -332,6 +333,12 @@ CHECKS: dict[str, str] = {
         f'{_money("price", "revenue")} FROM fact LEFT JOIN dim_customers USING ("CustomerKey") '
         "GROUP BY dim_customers.customer_id"
     ),
+    "marts_by_grain": _with(
+        f"SELECT 'status' AS \"by\", order_status AS member, count(*) AS items, count(DISTINCT order_id) AS orders, "
+        f"{_money('price', 'revenue')} FROM base GROUP BY order_status UNION ALL "
+        'SELECT \'month\', concat_ws(\'-\', "Year", "Month"), count(*), count(DISTINCT order_id), '
+        f'{_money("price", "revenue")} FROM fact LEFT JOIN dim_date USING ("DateKey") GROUP BY "Year", "Month"'
+    ),
     "mart_status_mix": _with(
         f"SELECT order_status, count(*) AS items, count(DISTINCT order_id) AS orders, {_money('price', 'revenue')} "
         "FROM base GROUP BY order_status"

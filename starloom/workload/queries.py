@@ -303,6 +303,14 @@ def quality_checks_packed(spark, sf_dir):
     return _checked(spark, sf_dir, layout="packed")
 
 
+@query("quality_checks_by_grain")
+def quality_checks_by_grain(spark, sf_dir):
+    """The checks of a fact laid out by its grain: nothing but sums is exchanged."""
+    star = _star(spark, sf_dir, missing=True)
+    star.lay_out_fact()
+    return star.quality_checks
+
+
 @query("run_report")
 def run_report(spark, sf_dir):
     """Rows loaded from each raw table and what became of the purchase times, as a run saw them pass."""
@@ -420,3 +428,14 @@ def mart_customer_behavior(spark, sf_dir):
 @query("mart_status_mix")
 def mart_status_mix(spark, sf_dir):
     return _star(spark, sf_dir).rollup("status_mix")
+
+
+@query("marts_by_grain")
+def marts_by_grain(spark, sf_dir):
+    """Two rollups by order over one fact that lies by order."""
+    star = _star(spark, sf_dir)
+    star.lay_out_fact()
+    by_status = star.rollup("status_mix").select(F.lit("status").alias("by"), F.col("order_status").alias("member"), "items", "orders", "revenue")
+    month = F.concat_ws("-", F.col("Year").cast("string"), F.col("Month").cast("string"))
+    by_month = star.rollup("sales_by_month").select(F.lit("month").alias("by"), month.alias("member"), "items", "orders", "revenue")
+    return by_status.unionAll(by_month)

@@ -127,3 +127,35 @@ def test_rollups_build_only_the_dimension_they_use(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         found = {key for key in ("CustomerKey", "ProductKey", "SellerKey", "DateKey") if key in plan}
         assert found == ({own} if own else set()), name
+
+
+def test_checks_and_rollups_of_a_laid_out_fact_exchange_sums_alone(spark, conf, no_broadcast, hot):
+    """Rows stay where they lie; only partial sums move. The hot order is dealt over all buckets."""
+    star, plain = build_star(hot), build_star(hot)
+    laid = star.lay_out_fact(8)
+    assert star.lay_out_fact() is laid and star.fact_order_items.columns == plain.fact_order_items.columns
+    sizes = sorted(r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect())
+    # The order has a third of the rows, and seven item numbers to deal them by.
+    assert len(sizes) == 8 and sizes[-1] < sum(sizes) / 4, sizes
+    assert laid.where("order_part >= 0").select("order_id").distinct().collect() == [(7,)]
+    for name in ("status_mix", "sales_by_month", "customer_behavior"):
+        plan = plan_of(star.rollup(name))
+        # Above the scan of the fact comes a whole aggregate by order before anything moves.
+        assert not re.search(r"Exchange hashpartitioning\([^)]*order_id", plan), plan
+        assert sorted(map(repr, star.rollup(name).collect())) == sorted(map(repr, plain.rollup(name).collect()))
+    checks = plan_of(star.quality_checks)
+    assert "hashpartitioning" not in checks and checks.count("Exchange SinglePartition") > 0, checks
+    assert star.quality_checks.collect() == plain.quality_checks.collect()
+    scratch = star.scratch
+    star.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("starloom_")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{scratch}/fact_by_grain")
+
+
+def test_an_ordinary_fact_lies_whole(spark, sources):
+    star = build_star(sources)
+    laid = star.lay_out_fact(3)
+    assert {r.order_part for r in laid.collect()} == {-1}
+    assert star.quality_checks.collect() == build_star(sources).quality_checks.collect()
+    star.drop()
