@@ -172,56 +172,94 @@ CONNECTION = {"url": "jdbc:postgresql://db/dwh", "driver": "org.postgresql.Drive
 
 def test_jdbc_options():
     options = jdbc_options({**CONNECTION, "batchsize": "5000"}, "dim_date")
-    assert options["dbtable"] == "dwh.dim_date" and options["truncate"] == "true"
-    assert options["cascadeTruncate"] == "true" and options["batchsize"] == "5000"
+    assert options["dbtable"] == "dwh.dim_date" and options["batchsize"] == "5000" and options["numPartitions"] == "16"
     assert jdbc_options(CONNECTION, "dim_date", schema=None)["dbtable"] == "dim_date"
     with pytest.raises(ValueError, match="url"):
         jdbc_options({}, "dim_date")
 
 
+class Warehouse:
+    """What would reach a database is recorded, not run: none is started for a test."""
+
+    def __init__(self):
+        self.loads, self.log, self.fails_at = [], [], None
+
+    def setAutoCommit(self, on):  # noqa: N802
+        assert on is False
+
+    def createStatement(self):  # noqa: N802
+        return self
+
+    def execute(self, statement):
+        if self.fails_at and self.fails_at in statement:
+            raise RuntimeError("refused")
+        self.log.append(statement)
+
+    def commit(self):
+        self.log.append("COMMIT")
+
+    def rollback(self):
+        self.log.append("ROLLBACK")
+
+    def close(self):
+        pass
+
+
 @pytest.fixture
 def recorded(monkeypatch):
-    """JDBC saves are recorded, not run: no database is started for a test."""
-    saves = []
+    warehouse = Warehouse()
 
     def save(writer, *args, **kwargs):
-        saves.append(writer._df.count())
+        warehouse.loads.append(writer._df.count())
 
     monkeypatch.setattr(DataFrameWriter, "save", save)
-    return saves
+    monkeypatch.setattr(jdbc, "_connect", lambda spark, connection: warehouse)
+    monkeypatch.setattr(jdbc, "_rows_in", lambda df, options: df.count())
+    return warehouse
 
 
-def test_jdbc_publish_loads_dimensions_first_and_verifies(spark, sources, recorded, monkeypatch):
+def test_jdbc_publish_swaps_staged_tables_in_one_transaction(spark, sources, recorded):
     tables = build_star(sources).tables()
-    seen = []
-
-    def rows_in(df, options):
-        seen.append(options["dbtable"])
-        return df.count()
-
-    monkeypatch.setattr(jdbc, "_rows_in", rows_in)
     loaded = jdbc.publish_jdbc(tables, CONNECTION)
-    assert seen == [f"dwh.{name}" for name in STAR_TABLES]
-    assert recorded == list(loaded.values()) == [2, 2, 2, 3, 7]
+    assert recorded.loads == list(loaded.values()) == [2, 2, 2, 3, 7]
+    truncate, *inserts = recorded.log[: recorded.log.index("COMMIT")]
+    # The order in which the warehouse's tables are emptied.
+    assert truncate == (
+        "TRUNCATE TABLE dwh.fact_order_items, dwh.dim_date, dwh.dim_sellers, dwh.dim_products, dwh.dim_customers "
+        "RESTART IDENTITY CASCADE"
+    )
+    assert [i.split()[2] for i in inserts] == [f"dwh.{name}" for name in STAR_TABLES]
+    assert '"SellerKey") SELECT "seller_id"' in inserts[2] and "FROM dwh.stage_" in inserts[2]
+    dropped = recorded.log[recorded.log.index("COMMIT") + 1 :]
+    assert len(dropped) == 6 and dropped[-1] == "COMMIT" and all(d.startswith("DROP TABLE IF EXISTS dwh.stage_") for d in dropped[:5])
     with pytest.raises(QualityError):
         jdbc.publish_jdbc(tables, CONNECTION, gate="fail")
 
 
+def test_a_refused_statement_leaves_the_warehouse_and_no_staging(spark, sources, recorded):
+    recorded.fails_at = "INSERT INTO dwh.fact_order_items"
+    with pytest.raises(RuntimeError, match="refused"):
+        jdbc.publish_jdbc(build_star(sources).tables(), CONNECTION)
+    rolled = recorded.log.index("ROLLBACK")
+    assert "COMMIT" not in recorded.log[:rolled] and sum(x.startswith("DROP") for x in recorded.log[rolled:]) == 5
+
+
 def test_jdbc_publish_loads_again_when_rows_were_doubled(spark, sources, recorded, monkeypatch):
     tables = build_star(sources).tables()
     answers = iter([4, 2, 2, 2, 3, 7])
     monkeypatch.setattr(jdbc, "_rows_in", lambda df, options: next(answers))
     assert jdbc.publish_jdbc(tables, CONNECTION)["dim_customers"] == 2
-    assert recorded == [2, 2, 2, 2, 3, 7]
+    assert recorded.loads == [2, 2, 2, 2, 3, 7]
     monkeypatch.setattr(jdbc, "_rows_in", lambda df, options: 99)
+    recorded.log.clear()
     with pytest.raises(RuntimeError, match="holds 99 rows"):
         jdbc.publish_jdbc(tables, CONNECTION)
+    assert not any(x.startswith(("TRUNCATE", "INSERT")) for x in recorded.log)
 
 
-def test_jdbc_run_passes_written_tables(spark, sources, recorded, monkeypatch):
-    monkeypatch.setattr(jdbc, "_rows_in", lambda df, options: df.count())
+def test_jdbc_run_passes_written_tables(spark, sources, recorded):
     star = run_star(spark, sources, CONNECTION, publish=True)
-    assert recorded == [2, 2, 2, 3, 7]
+    assert recorded.loads == [2, 2, 2, 3, 7]
     assert spark.read.parquet(f"{star.scratch}/fact_order_items").count() == 7
 
 
