@@ -23,11 +23,16 @@ from starloom.llm.line_dedup import normal_line
 LEAST_WORDS = 3
 # A seed is at most so many bytes, and shorter if fewer than so many of an edited item's would be left.
 SEED_BYTES = 8
-LEAST_SHARED = 12
+LEAST_SHARED = 6
 # Items as long as this or longer lose the same share of their seeds.
 LONG_ITEM = 1_000
 # Characters of benchmark items that travel to the tasks at once.
 BLOCK_CHARS = 4_000_000
+# Cells of the table that counts seeds; windows embedded at once.
+CELLS = 1 << 17
+WINDOWS_AT_ONCE = 4096
+# Edited copies of items by which the size of a key is chosen.
+COPIES = 600
 _LEAK = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("end", LongType()), StructField("similarity", DoubleType())])
 
 
@@ -35,15 +40,17 @@ class LeakRule(NamedTuple):
     """Windows leak an item at ``similarity`` (1 - edits / characters) or more.
 
     Windows are laid where as many seeds of an item stand as are left of it at
-    the least similarity, edits falling anywhere, for ``recall``. ``sampled``
-    places of ``walks`` embeddings make a key; as many keys are taken as a
-    window at the least similarity needs for ``recall``.
+    the least similarity, edits falling anywhere, for ``recall``. Of each of
+    ``walks`` embeddings ``sampled`` places are drawn. A key is a choice of these
+    places; all keys of one size are tried at once, as a window has one in common
+    with its item if it agrees in so many places. The size is the largest at
+    which edited copies of the items, at the least similarity, are found with ``recall``.
     """
 
     similarity: float = 0.8
-    recall: float = 0.99
-    sampled: int = 6
-    walks: int = 8
+    recall: float = 0.98
+    sampled: int = 96
+    walks: int = 12
 
 
 def cgk_embed(strings: list[bytes], walk: np.ndarray) -> np.ndarray:
@@ -51,17 +58,23 @@ def cgk_embed(strings: list[bytes], walk: np.ndarray) -> np.ndarray:
 
     At step t the byte under the head is written; the head moves on if the walk
     says so for that byte. Equal walks keep strings of few edits close in
-    Hamming distance.
+    Hamming distance. A string takes as many steps as it has bytes, so its head never
+    passes its end; what lies beyond is 0 and says nothing.
     """
-    width = max(map(len, strings), default=0) + 1
-    padded = np.zeros((len(strings), width), np.uint8)
-    for i, s in enumerate(strings):
-        padded[i, : len(s)] = np.frombuffer(s, np.uint8)
-    head, rows = np.zeros(len(strings), np.int64), np.arange(len(strings))
-    out = np.zeros((len(strings), len(walk)), np.uint8)
-    for t, moves in enumerate(walk):
-        out[:, t] = padded[rows, head]
-        head = np.minimum(head + moves[out[:, t]], width - 1)
+    lengths = np.array([min(len(s), len(walk)) for s in strings], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    head = np.concatenate(([0], np.cumsum(lengths[order])))[:-1]
+    flat = np.frombuffer(b"".join(strings[i][: lengths[i]] for i in order), np.uint8)
+    # The longest first, so those that still walk are the first rows.
+    left = len(strings) - np.searchsorted(lengths[order][::-1], np.arange(len(walk)), side="right")
+    steps, table = np.zeros((len(walk), len(strings)), np.uint8), walk.astype(np.int64)
+    for t, n in enumerate(left.tolist()):
+        if not n:
+            break
+        steps[t, :n] = flat[head[:n]]
+        head = head[:n] + table[t][steps[t, :n]]
+    out = np.empty((len(strings), len(walk)), np.uint8)
+    out[order] = steps.T
     return out
 
 
@@ -118,7 +131,7 @@ class Region(NamedTuple):
     item: int
     low: int
     high: int
-    windows: list[int]
+    windows: set[int]
 
 
 class BenchmarkIndex:
@@ -158,36 +171,39 @@ class BenchmarkIndex:
         return Seeds(size, known, np.append(first, len(seeds)), item[order], place[order], maybe)
 
     def _embed(self) -> None:
-        rule = self.rule
-        self.lengths = np.array([3 * len(e) for e in self.encoded])
-        self.walks = _walks(int(self.lengths.max()), rule.walks)
-        self.embedded = [cgk_embed(self.encoded, w) for w in self.walks]
-        # Agreement of items with copies edited as much as the rule allows, each walk's lower decile.
-        draw = np.random.default_rng(5)
-        some = list(range(0, len(self.encoded), max(1, len(self.encoded) // 64)))
-        edited = [_edited(self.encoded[i], int((1 - rule.similarity) * len(self.encoded[i])), draw) for i in some]
+        rule, draw = self.rule, np.random.default_rng(5)
+        self.walks = _walks(int(self.sizes.max()), rule.walks)
+        embedded = [cgk_embed(self.encoded, w) for w in self.walks]
+        # The places of each item that are compared, and its bytes there.
+        self.places = (draw.random((rule.walks, 1, rule.sampled)) * self.sizes[None, :, None]).astype(np.int64)
+        self.bits = np.stack([np.take_along_axis(e, p, axis=1) for e, p in zip(embedded, self.places, strict=True)])
+        # Copies edited as much as the rule allows, in the windows that their own seeds lay.
+        some = np.linspace(0, len(self.encoded) - 1, min(len(self.encoded), 100)).astype(int).tolist()
         agree = []
-        for walk, own in zip(self.walks, self.embedded, strict=True):
-            same = cgk_embed(edited, walk) == own[some]
-            agree.extend(same[k, : self.lengths[i]].mean() for k, i in enumerate(some))
-        chance = max(float(np.quantile(agree, 0.1)), 0.2) ** rule.sampled
-        keys = min(4096, math.ceil(math.log(1 - rule.recall) / math.log(1 - chance)))
-        self.per_walk = -(-keys // rule.walks)
-        self.draws = draw.random((rule.walks, self.per_walk, rule.sampled))
+        for i in some * -(-COPIES // max(1, len(some))):
+            size = int(self.sizes[i])
+            edited = _replaced(self.encoded[i], int((1 - rule.similarity) * len(self.items[i][1])), draw)
+            body = np.frombuffer(b" " * size + edited + b" " * size, np.uint8)
+            laid = [max(0, w) for region in self.regions(body) if region.item == i for w in region.windows]
+            if laid:
+                agree.append(int(self.agreement(np.full(len(laid), i), [body[w : w + size].tobytes() for w in laid]).max()))
+        self.joined = max(1, int(np.quantile(agree, (1 - rule.recall) / 2, method="lower"))) if agree else 1
+
+    def agreement(self, which: np.ndarray, windows: list[bytes]) -> np.ndarray:
+        """Sampled places in which windows agree with their item, in the walk where they do most."""
+        most = np.zeros(len(windows), np.int64)
+        for walk, places, bits in zip(self.walks, self.places, self.bits, strict=True):
+            same = np.take_along_axis(cgk_embed(windows, walk), places[which], axis=1) == bits[which]
+            most = np.maximum(most, same.sum(axis=1))
+        return most
 
     def collides(self, which: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """Which windows fall into a bucket of their item, for any key of any walk."""
-        hit = np.zeros(len(windows), bool)
-        for walk, own, draws in zip(self.walks, self.embedded, self.draws, strict=True):
-            todo = np.flatnonzero(~hit)
-            if not len(todo):
-                break
-            found = cgk_embed([windows[i] for i in todo], walk)
-            places = (draws[None] * self.lengths[which[todo], None, None]).astype(np.int64)
-            rows = np.arange(len(todo))[:, None, None]
-            same = found[rows, places] == own[which[todo]][rows, places]
-            hit[todo] = same.all(axis=2).any(axis=1)
-        return hit
+        """Which windows have a key in common with their item, in any walk."""
+        out = np.zeros(len(windows), bool)
+        for a in range(0, len(windows), WINDOWS_AT_ONCE):
+            b = a + WINDOWS_AT_ONCE
+            out[a:b] = self.agreement(which[a:b], windows[a:b]) >= self.joined
+        return out
 
     def regions(self, body: np.ndarray) -> list[Region]:
         """Where enough seeds of an item stand as far apart as its edits allow."""
@@ -209,8 +225,8 @@ class BenchmarkIndex:
         step = self.reach + 1
         band = begin // step[item] + 1
         # First by a table that may add the counts of other bands.
-        cell = ((item * 0x9E3779B1 + band) & 0xFFFFF) + 1
-        counts = np.bincount(cell, minlength=(1 << 20) + 2)
+        cell = ((item * 0x9E3779B1 + band) & (CELLS - 1)) + 1
+        counts = np.bincount(cell, minlength=CELLS + 2)
         counts[0], counts[-1] = counts[-2], counts[1]
         some = counts[cell] + np.maximum(counts[cell - 1], counts[cell + 1]) >= self.least[item]
         begin, item, place, band = begin[some], item[some], place[some], band[some]
@@ -226,19 +242,19 @@ class BenchmarkIndex:
         cuts = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
         ends = np.append(cuts[1:], len(both))
         own = ends - cuts >= self.least[item[cuts]]
-        last = None
+        last, upto = None, 0
         for a, b in zip(cuts[own].tolist(), ends[own].tolist(), strict=True):
             i, at = int(item[a]), int(band[a]) - 1
             size, reach = int(self.sizes[i]), int(self.reach[i])
             low, high = at * (reach + 1) - size - reach, (at + 2) * (reach + 1) + reach
-            window = sorted(begin[a:b].tolist())[(b - a) // 2] - size
-            if last and last.item == i and low <= last.low + (len(last.windows)) * (reach + 1):
-                last.windows.append(window)
-                last = last._replace(high=high)
+            # The first seed knows best where the passage begins, unless it is there by chance.
+            laid = {int(begin[a]) - size, sorted(begin[a:b].tolist())[(b - a) // 2] - size}
+            if last and last.item == i and at == upto + 1:
+                last, upto = last._replace(high=high, windows=last.windows | laid), at
                 continue
             if last:
                 yield last
-            last = Region(i, low, high, [window])
+            last, upto = Region(i, low, high, laid), at
         if last:
             yield last
 
@@ -254,17 +270,12 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return body, begins
 
 
-def _edited(text: bytes, edits: int, draw: np.random.Generator) -> bytes:
-    out = bytearray(text)
-    for _ in range(edits):
-        at, kind = int(draw.integers(0, max(1, len(out)))), int(draw.integers(0, 3))
-        if kind == 0 and out:
-            out[at] = 0x61 + (out[at] + 7) % 26
-        elif kind == 1 and len(out) > 1:
-            del out[at]
-        else:
-            out.insert(at, 0x65)
-    return bytes(out)
+def _replaced(text: bytes, edits: int, draw: np.random.Generator) -> bytes:
+    """The text with so many bytes replaced: no other edits change the embedding more."""
+    out = np.frombuffer(text, np.uint8).copy()
+    at = draw.permutation(len(out))[:edits]
+    out[at] = 0x61 + (out[at] + draw.integers(1, 26, len(at))) % 26
+    return out.tobytes()
 
 
 def _find(index: BenchmarkIndex, column: pa.Array) -> dict[int, list[dict]]:
@@ -282,7 +293,7 @@ def _find(index: BenchmarkIndex, column: pa.Array) -> dict[int, list[dict]]:
         t = max(0, int(np.searchsorted(opens, region.low, side="right")) - 1)
         while t < len(opens) - 1 and opens[t] < region.high:
             low, high = max(region.low, int(opens[t])), min(region.high, int(opens[t + 1]) - 1)
-            for at in region.windows if low < high else ():
+            for at in sorted(region.windows) if low < high else ():
                 a, b = max(at, int(opens[t])), min(at + int(index.sizes[region.item]), int(opens[t + 1]) - 1)
                 if a < b:
                     which.append(region.item)
@@ -317,7 +328,7 @@ def find_leaks(
     Texts are compared as words without case, signs and white space, digits
     alike. Item-sized windows are laid where as many short runs of an item's
     bytes stand as edits at the least similarity leave of it; a window whose
-    embedding falls into a bucket of the item is verified by the exact edit
+    embedding has a key in common with the item is verified by the exact edit
     similarity of the text around. start and end count words.
     leaks is an empty array for clean documents and null or empty texts. An item
     with fewer than three words, a null text or a null id proves nothing and is

@@ -503,6 +503,39 @@ def test_leaks_near_the_least_similarity_against_brute_force(spark, docs):
     assert got <= expected and len(got) >= 0.98 * len(expected)
 
 
+def test_leaks_with_evenly_spaced_edits(spark, docs):
+    """One letter replaced in every six to ten: no run of bytes outlasts them, the windows are found all the same."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    draw, rows, normal = random.Random(13), [], {i: line_dedup.normal_line(t) for i, t in items}
+    for i, text in items:
+        for every in (6, 7, 8, 10):
+            edited = "".join(draw.choice("xyz") if n % every == 2 and c.isalpha() else c for n, c in enumerate(text))
+            if 5 * best_substring(normal[i], line_dedup.normal_line(edited))[0] <= len(normal[i]):
+                rows.append((100 * i + every, f"{draw.choice(list(docs.values()))[:400]}\n{edited}"))
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    got = {(r.doc_id, leak.item_id) for r in found.collect() for leak in r.leaks}
+    assert len(rows) > 3 * len(items) and sum((d, d // 100) in got for d, _ in rows) >= 0.9 * len(rows)
+
+
+def test_hashing_decides_which_windows_are_verified(spark, docs):
+    """Of the windows that seeds lay in clean texts nearly all share no key with their item."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    index = decontaminate.BenchmarkIndex(items, decontaminate.LeakRule())
+    given = [line_dedup.normal_line(i) for _, i in items]
+    clean = [t for t in map(line_dedup.normal_line, docs.values()) if not any(best_substring(i, t)[0] * 5 <= len(i) for i in given[:8])]
+    body = np.frombuffer(" ".join(clean).encode(), np.uint8)
+    laid = [(r.item, w) for r in index.regions(body) for w in r.windows if w >= 0]
+    which = np.array([i for i, _ in laid])
+    windows = [body[w : w + int(index.sizes[i])].tobytes() for i, w in laid]
+    met = index.collides(which, windows)
+    far = [n for n, (i, w) in enumerate(zip(which.tolist(), windows, strict=True)) if edit_distance(w.decode("latin1"), index.encoded[i].decode("latin1")) > 0.4 * len(w)]
+    assert len(far) > 30 and met[far].mean() < 0.15
+    # Any two strings that are equal share every key.
+    assert index.collides(np.arange(len(index.encoded)), index.encoded).all()
+
+
 def test_leaks_of_odd_rows(spark, odd):
     items = [(1, "a null id with a text of its own"), (2, None), (None, "one line with quite some words here"), (3, ""), (4, "two words")]
     found = decontaminate.find_leaks(odd, spark.createDataFrame(items, "item_id long, text string"))
