@@ -32,7 +32,7 @@ BLOCK_CHARS = 4_000_000
 CELLS = 1 << 17
 WINDOWS_AT_ONCE = 4096
 # Edited copies of items by which the size of a key is chosen.
-COPIES = 600
+COPIES = 400
 _LEAK = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("end", LongType()), StructField("similarity", DoubleType())])
 
 
@@ -108,7 +108,10 @@ def _packed(body: np.ndarray) -> np.ndarray:
 
 
 class Seeds(NamedTuple):
-    """Runs of ``size`` bytes, where each one's items begin in the lists, and the items and places in them."""
+    """Runs of ``size`` bytes by their hash, where each one's items begin in the lists, and the items and places in them.
+
+    ``maybe`` tells by a hash which runs can be known, ``first`` where the known runs of a coarser hash begin.
+    """
 
     size: int
     known: np.ndarray
@@ -116,6 +119,7 @@ class Seeds(NamedTuple):
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    first: np.ndarray
 
     def cut(self, packed: np.ndarray) -> np.ndarray:
         return packed & np.uint64((1 << 8 * self.size) - 1)
@@ -124,6 +128,21 @@ class Seeds(NamedTuple):
     def spread(seeds: np.ndarray) -> np.ndarray:
         return ((seeds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
+    def find(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the runs are known, and where in ``known``."""
+        cell = self.spread(runs) >> 2
+        at, end = self.first[cell], self.first[cell + 1]
+        out = np.full(len(runs), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = self.known[at[todo]] == runs[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        found = np.flatnonzero(out >= 0)
+        return found, out[found]
+
 
 class Region(NamedTuple):
     """A part of the texts that may hold an item, and where windows of its size begin there."""
@@ -159,16 +178,19 @@ class BenchmarkIndex:
             self._embed()
 
     def _listed(self, size: int, own: list[int]) -> Seeds:
-        empty = Seeds(size, *[np.zeros(0, np.int64)] * 5)
+        empty = Seeds(size, *[np.zeros(0, np.int64)] * 6)
         found = [empty.cut(_packed(np.frombuffer(self.encoded[n], np.uint8)))[: len(self.encoded[n]) - size + 1] for n in own]
         item = np.repeat(own, [len(x) for x in found])
         place = np.concatenate([np.arange(len(x)) for x in found])
         seeds = np.concatenate(found)
-        order = np.argsort(seeds, kind="stable")
-        known, first = np.unique(seeds[order], return_index=True)
+        order = np.lexsort((seeds, Seeds.spread(seeds)))
+        seeds = seeds[order]
+        begins = np.flatnonzero(np.concatenate(([True], seeds[1:] != seeds[:-1]))) if len(seeds) else np.zeros(0, np.int64)
+        known = seeds[begins]
         maybe = np.zeros(1 << 20, bool)
         maybe[Seeds.spread(known)] = True
-        return Seeds(size, known, np.append(first, len(seeds)), item[order], place[order], maybe)
+        first = np.searchsorted(Seeds.spread(known) >> 2, np.arange((1 << 18) + 1)).astype(np.int32)
+        return Seeds(size, known, np.append(begins, len(seeds)), item[order], place[order], maybe, first)
 
     def _embed(self) -> None:
         rule, draw = self.rule, np.random.default_rng(5)
@@ -211,9 +233,8 @@ class BenchmarkIndex:
         for seeds in self.seeds:
             runs = seeds.cut(packed)
             spots = np.flatnonzero(seeds.maybe[Seeds.spread(runs)])
-            at = np.minimum(np.searchsorted(seeds.known, runs[spots]), len(seeds.known) - 1)
-            same = seeds.known[at] == runs[spots]
-            spots, at = spots[same], at[same]
+            found, at = seeds.find(runs[spots])
+            spots = spots[found]
             many = seeds.bounds[at + 1] - seeds.bounds[at]
             entry = np.repeat(seeds.bounds[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
             out.extend(self._dense(np.repeat(spots, many), seeds.item[entry], seeds.place[entry], len(body)))

@@ -531,7 +531,7 @@ def test_hashing_decides_which_windows_are_verified(spark, docs):
     windows = [body[w : w + int(index.sizes[i])].tobytes() for i, w in laid]
     met = index.collides(which, windows)
     far = [n for n, (i, w) in enumerate(zip(which.tolist(), windows, strict=True)) if edit_distance(w.decode("latin1"), index.encoded[i].decode("latin1")) > 0.4 * len(w)]
-    assert len(far) > 30 and met[far].mean() < 0.15
+    assert len(far) >= 20 and met[far].mean() < 0.15
     # Any two strings that are equal share every key.
     assert index.collides(np.arange(len(index.encoded)), index.encoded).all()
 
