@@ -18,9 +18,11 @@ from tokenizers.models import BPE
 from starloom.llm.common import text_slices
 
 WINDOW = 4096
-# Words whose ids a worker remembers, and windows it holds open.
-MOST_WORDS = 500_000
-MOST_OPEN = 2_048
+# Bytes of words and their ids that a worker remembers, with what an entry costs besides.
+KNOWN_BYTES = 96 << 20
+ENTRY_BYTES = 200
+# Windows that a task holds open, each of four bytes an id at most: 256 MB if all are nearly full.
+MOST_OPEN = 16_384
 
 _COLUMNS = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
@@ -43,15 +45,16 @@ class WordTokenizer:
     The vocabulary's tokens never span white space, so a text's ids are those
     of its blank-separated words, one after the other. Only words not seen
     before go through the tokenizer: plain ones straight to its merges, if that
-    proves equal for some probes, others through all its steps. Bytes of
-    little-endian unsigned ids.
+    proves equal for some probes, others through all its steps. The string of a
+    special token becomes its id, as the tokenizer has it. Bytes of
+    little-endian unsigned ids. What is remembered between two texts is bounded by its bytes.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.tails: dict[str, bytes] = {"": b""}
         self.end = array("I", [end_id]).tobytes()
         with open(path, encoding="utf-8") as file:
@@ -77,22 +80,24 @@ class WordTokenizer:
             return self._in_full(text)
         letters, tail = plain[1].lower(), plain[2]
         if tail not in self.tails:
-            if len(self.tails) > MOST_WORDS:
-                self.tails = {"": b""}
+            self.held += len(tail) + ENTRY_BYTES
             self.tails[tail] = self._in_full(tail)
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes() + self.tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known, out = self.known, []
+        out = []
         for text in texts:
+            if self.held > KNOWN_BYTES:
+                self.known.clear()
+                self.tails, self.held = {"": b""}, 0
+            known = self.known
             words = (text or "").encode().split()
             for word in words:
                 if word not in known:
-                    known[word] = self._of_word(word)
+                    ids = known[word] = self._of_word(word)
+                    self.held += len(word) + len(ids) + ENTRY_BYTES
             out.append(b"".join([known[w] for w in words]) + self.end)
         return out
 
@@ -106,8 +111,9 @@ class Packer:
     the last are full, and the last is cut into powers of two.
     """
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0, most_open: int | None = None):
         self.window = window
+        self.most_open = most_open or MOST_OPEN
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
         self.n_open = 0
@@ -129,7 +135,7 @@ class Packer:
         gain = 2 * levels[size : self.window + 1] + 1
         gain[-1] = 0
         change = gain - np.where(before > 0, 2 * before - 1, 0)
-        change[1:][before[1:] == 0] = 4 * MOST_OPEN * MOST_OPEN
+        change[1:][before[1:] == 0] = 4 * self.most_open * self.most_open
         level = len(change) - 1 - int(np.argmin(change[::-1]))
         if level:
             window = self.open[level].pop()
@@ -144,7 +150,7 @@ class Packer:
             self.open.setdefault(level + size, []).append(window)
             levels[level + size] += 1
             self.n_open += 1
-            if self.n_open >= MOST_OPEN:
+            if self.n_open >= self.most_open:
                 self.finish(whole_only=True)
 
     def _close(self, window: list) -> None:
@@ -196,11 +202,13 @@ def pack_documents(
     end_id: int = 2,
     doc_id: str = "doc_id",
     text: str = "text",
+    most_open: int | None = None,
 ) -> DataFrame:
     """Pieces of documents and where they lie in sequences of at most ``window`` ids.
 
     Each task packs its own documents online and pours its open windows together
-    at its end, so every sequence is full or a power of two long, and no id is
+    at its end, or when ``most_open`` (16,384 by default, 256 MB of ids at most) are
+    open: no id is lost by it, but the counts of levels start anew. So every sequence is full or a power of two long, and no id is
     padding. A document: the ids of its whole text by the tokenizer file (which
     every executor has at that path), then ``end_id``; a null text is an empty
     one. A null id, repeated rows and ties each make pieces of their own. No
@@ -227,7 +235,7 @@ def pack_documents(
         for batch in text_slices(batches):
             if words is None:
                 words = WordTokenizer(tokenizer, end_id)
-                packer = Packer(window, TaskContext.get().partitionId() << 33)
+                packer = Packer(window, TaskContext.get().partitionId() << 33, most_open)
                 kind = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
                 packer.add(doc, ids)

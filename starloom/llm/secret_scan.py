@@ -19,8 +19,10 @@ from starloom.llm.common import column_bytes, text_slices
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Words before a value that speak for a credential.
 CREDENTIAL_WORDS = frozenset(("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"))
-# What such a word is assigned: any signs but white space and quotes, four or more. The sign is sought first, as it is rare.
-_ASSIGNED = re.compile(r"[:=]+>?[ \t]*[\"'`]?(?=([^\s\"'`<>=:][^\s\"'`<>]{3,}))")
+# What such a word is assigned: any signs but white space and quotes, four or more. The sign is sought first, as it is
+# rare; a run of signs is taken whole, and a value read only behind a credential word, so each character is seen once.
+_SIGN = re.compile(r"[:=]++>?[ \t]*+[\"'`]?")
+_VALUE = re.compile(r"[^\s\"'`<>=:][^\s\"'`<>]{3,}+")
 _NAMED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(CREDENTIAL_WORDS)) + r")[\"'`]?[ \t]*$", re.IGNORECASE)
 _CLOSING = ",;.)]}"
 # Strings of several kinds of signs that are no secrets by their form.
@@ -78,12 +80,16 @@ def common_grams(docs: DataFrame, share: float = 2e-6) -> np.ndarray:
 
 def spans(text: str) -> list[tuple[int, int]]:
     """Where candidates start and end: assigned values, and long runs that overlap none of them."""
-    out = []
-    for found in _ASSIGNED.finditer(text):
-        low, high = found.span(1)
-        if out and low < out[-1][1] or not _NAMED.search(text[max(0, found.start() - 40) : found.start()]):
+    out, behind = [], 0
+    for found in _SIGN.finditer(text):
+        low = found.end()
+        if low < behind or not _NAMED.search(text[max(0, found.start() - 40) : found.start()]):
             continue
-        high = low + len(found[1].rstrip(_CLOSING))
+        value = _VALUE.match(text, low)
+        if value is None:
+            continue
+        behind = value.end()
+        high = low + len(value[0].rstrip(_CLOSING))
         if high - low >= 4:
             out.append((low, high))
     given = [*out, (len(text) + 1, len(text) + 1)]

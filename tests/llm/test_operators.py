@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables and odd rows."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,7 +276,6 @@ def check_packing(spark, df, window):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing_tokenizer())
-    whole.encode_special_tokens = True
     expected = Counter((r.doc_id, tuple(whole.encode(r.text or "", add_special_tokens=False).ids + [2])) for r in df.collect())
     pieces = packing.pack_documents(df, packing_tokenizer(), window).collect()
     sequences = defaultdict(list)
@@ -296,6 +296,31 @@ def check_packing(spark, df, window):
             assert any(tuple(part) == ids[start : start + len(part)] for part in parts)
 
 
+def test_special_tokens_in_texts_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b <|endoftext|>", "<|startoftext|>'s x<|endof text|>", "<|ENDOFTEXT|>.<|endoftext|>漢字", "''<|endoftext|>'ll"]
+    whole = Tokenizer.from_file(packing_tokenizer())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(bytes)
+    for p in sorted(packing.pack_documents(df, packing_tokenizer()).collect(), key=lambda p: p.start):
+        got[p.doc_id] += bytes(p.ids)
+    for n, text in enumerate(texts):
+        assert np.frombuffer(got[n], "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+    assert 49407 in np.frombuffer(got[0], "<u4")
+
+
+def test_remembered_words_are_bounded_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 100_000)
+    words, fresh = packing.WordTokenizer(packing_tokenizer(), 2), packing.WordTokenizer(packing_tokenizer(), 2)
+    # Scripts without blanks: each text is one long word of its own.
+    texts = ["文" * 3000 + str(n) for n in range(40)] + ["plain words"] * 3
+    for text in texts:
+        words.encode([text])  # one text more than the bound may be held
+        assert sum(len(k) + len(v) for k, v in words.known.items()) < 160_000
+    assert words.encode(texts) == fresh.encode(texts)
+
+
 @pytest.mark.parametrize("window", [4096, 64])
 def test_packing_is_exact(spark, docs, odd, window):
     check_packing(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), window)
@@ -455,6 +480,20 @@ def test_repeats_of_odd_rows(spark, odd):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_candidates_of_long_runs_are_found_in_linear_time():
+    """A megabyte of one sign, of assignments without an end, or of blanks."""
+    runs = ("=" * 1_000_000, "token:" + "=" * 1_000_000, "a=" * 500_000, "key=" * 250_000, "key = " + " " * 1_000_000, "key=a" + "=b" * 400_000)
+    for text in runs:
+        before = time.process_time()
+        spans = secret_scan.spans(text)
+        assert time.process_time() - before < 2
+        assert all(0 <= a < b <= len(text) for a, b in spans)
+    text = "key=ab12x, token: 'q9Qz'"
+    assert [text[a:b] for a, b in secret_scan.spans(text)] == ["ab12x", "q9Qz"]
+    text = "password:=>  s3cr=t:x "
+    assert [text[a:b] for a, b in secret_scan.spans(text)] == ["s3cr=t:x"]
+
+
 # --- 9 decontamination ---------------------------------------------------------------------
 
 
