@@ -17,16 +17,24 @@ from starloom.llm.editing import edit_distance
 from starloom.llm.linking import BLOCK_WEIGHT, link_groups, near_clusters, runs
 
 
-MOST_BITS = 12
+# Bytes of a gram that votes, and grams that are counted at once: a count of more would not fit its byte.
+GRAM = 4
+LANE = 255
+# Parts of a line of which one may be edited at will.
+PARTS = 3
 
 
 class LineRule(NamedTuple):
-    """Lines of ``least_words`` words or more link when at most ``bits`` of their
-    64 SimHash bits differ and their edit similarity is ``up`` / ``down`` or more."""
+    """Lines of ``least_words`` words or more link when their edit similarity is ``up`` / ``down`` or more.
+
+    Only candidates are compared: lines of which at most ``bits`` of the 64 SimHash bits
+    differ, and that agree in two of ``blocks`` blocks of these bits, or in all
+    words but those of one part.
+    """
 
     least_words: int = 5
-    bits: int = 3
-    blocks: int = 5
+    bits: int = 18
+    blocks: int = 4
     up: int = 80
     down: int = 100
 
@@ -47,12 +55,13 @@ _NEWLINE = 0x0A
 
 
 class Lines(NamedTuple):
-    """Lines with enough words: the text and line they are in, their key, SimHash and words."""
+    """Lines with enough words: the text and line they are in, their key, SimHash, keys without a part, and words."""
 
     text: np.ndarray
     line: np.ndarray
     key: np.ndarray
     sim: np.ndarray
+    parts: np.ndarray
     first_word: np.ndarray
     last_word: np.ndarray
 
@@ -82,45 +91,93 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, rule: LineRule) -> tuple[L
     low, high = low[own], high[own]
     if not len(own):
         none = np.zeros(0, np.int64)
-        return Lines(none, none, none, none.view(np.uint64), none, none), starts, ends
+        return Lines(none, none, none, none.view(np.uint64), none.reshape(0, 2 * PARTS), none, none), starts, ends
     lengths = high - low
     at = np.repeat(low - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
     cuts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = (at - np.repeat(low, lengths)).astype(np.uint64)
-    key = mix(np.add.reduceat(mix(words[at] ^ mix(inside + np.uint64(1))), cuts) + lengths.astype(np.uint64))
-    # Each word votes once: else the commonest words alone would make long lines alike.
-    owner = np.repeat(np.arange(len(own)), lengths)
-    order = np.lexsort((words[at], owner))
-    voters, owner = words[at][order], owner[order]
-    once = np.concatenate(([True], (voters[1:] != voters[:-1]) | (owner[1:] != owner[:-1])))
-    n_voters = np.bincount(owner[once], minlength=len(own))
-    votes = _votes(voters[once], np.concatenate(([0], np.cumsum(n_voters)[:-1])), n_voters)
-    sim = np.packbits(votes, axis=1).view("<u8").ravel().astype(np.uint64)
-    return Lines(text[own], line[own], key.view(np.int64), sim, low, high), starts, ends
-
-
-# The bits of a byte, each in a byte of its own: sums of up to 255 words add up in one number.
+    own_words = words[at]
+    forward = mix(own_words ^ mix(inside + np.uint64(1)))
+    key = mix(np.add.reduceat(forward, cuts) + lengths.astype(np.uint64))
+    backward = mix(own_words ^ mix(np.repeat(lengths, lengths).astype(np.uint64) - inside + _BACKWARD))
+    parts = _without_parts(forward, backward, cuts, lengths)
+    sim = _simhash(*_spelled(data, starts[at], ends[at], cuts, lengths))
+    return Lines(text[own], line[own], key.view(np.int64), sim, parts.view(np.int64), low, high), starts, ends
+
+
+_BACKWARD = np.uint64(1 << 40)
+
+
+def _without_parts(forward: np.ndarray, backward: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Keys of each line's words but those of one part, for lines of as many words and of one less.
+
+    Lines that differ within one part, where one may have a word more, have a key in common.
+    """
+    before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(forward, dtype=np.uint64)))
+    behind = np.concatenate((np.zeros(1, np.uint64), np.cumsum(backward, dtype=np.uint64)))
+    ends, keys = cuts + lengths, []
+    for less in (0, 1):
+        size = lengths - less
+        for part in range(PARTS):
+            first, rest = size * part // PARTS, size - size * (part + 1) // PARTS
+            head = before[cuts + first] - before[cuts]
+            tail = behind[ends] - behind[ends - rest]
+            named = mix((size * PARTS + part).astype(np.uint64) + np.uint64(1))
+            keys.append(mix(mix(head + named) ^ tail))
+    return np.stack(keys, axis=1)
+
+
+def _spelled(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each line, a blank before each word, and where the lines begin."""
+    sizes = ends - starts + 1
+    total = np.cumsum(sizes)
+    body = np.full(int(total[-1]) + GRAM - 1, 0x20, np.uint8)
+    begins = total - sizes
+    # The blank before a word takes the place of the byte before it.
+    source = np.arange(total[-1]) + np.repeat(starts - 1 - begins, sizes)
+    letters = np.ones(len(source), bool)
+    letters[begins] = False
+    body[: len(source)][letters] = data[source[letters]]
+    return body, np.append(begins[cuts], total[-1])
+
+
+# The bits of a byte, each in a byte of its own: sums of up to 255 grams add up in one number.
 _LANES = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], "<u8")
 
 
-def _votes(words: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each line and bit whether more than half of the words have it."""
-    votes = np.empty((len(cuts), 64), bool)
-    ends = np.append(cuts[1:], len(words))
-    step = 1 << 13
-    for a in range(0, len(cuts), step):
-        own = slice(a, min(a + step, len(cuts)))
-        part = words[cuts[a] : ends[own][-1]].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(_LANES[part], cuts[own] - cuts[a], axis=0).view(np.uint8).reshape(-1, 64)
-        votes[own] = 2 * ones.astype(np.int32) > lengths[own, None]
-    for i in np.flatnonzero(lengths > 255):
-        bits = np.unpackbits(words[cuts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes[i] = 2 * bits.sum(axis=0, dtype=np.int64) > lengths[i]
-    return votes
+def _simhash(body: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """64 bits of each line: whether more than half of its grams of four bytes have them."""
+    sims = np.empty(len(begins) - 1, np.uint64)
+    a = 0
+    while a < len(sims):
+        b = max(a + 1, int(np.searchsorted(begins, begins[a] + (1 << 16), side="right")) - 1)
+        low, high = int(begins[a]), int(begins[b])
+        x = body[low : high + GRAM - 1].astype(np.uint64)
+        n = high - low
+        grams = x[:n] | x[1 : n + 1] << np.uint64(8) | x[2 : n + 2] << np.uint64(16) | x[3 : n + 3] << np.uint64(24)
+        votes = mix((grams + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).astype("<u8").view(np.uint8).reshape(-1, 8)
+        opens = begins[a:b] - low
+        runs = -(-np.diff(begins[a : b + 1]) // LANE)
+        first = np.concatenate(([0], np.cumsum(runs)[:-1]))
+        steps = np.arange(int(runs.sum())) - np.repeat(first, runs)
+        chunks = np.repeat(opens, runs) + LANE * steps
+        lanes = _LANES[votes]
+        # The last grams of a line reach into the next one.
+        for back in range(1, GRAM):
+            lanes[begins[a + 1 : b + 1] - low - back] = 0
+        ones = np.add.reduceat(lanes, chunks, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
+        counts = np.add.reduceat(ones, first, axis=0)
+        grams = np.diff(begins[a : b + 1]) - GRAM + 1
+        sims[a:b] = np.packbits(2 * counts > grams[:, None], axis=1).view("<u8").ravel()
+        a = b
+    return sims
 
 
 def _occurrences(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """(doc_id, doc, line, key, sim) of every line with enough words."""
+    """(doc_id, doc, line, key, sim, part_0 ...) of every line with enough words."""
+    names = [f"part_{i}" for i in range(2 * PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -133,23 +190,25 @@ def _occurrences(docs: DataFrame, rule: LineRule) -> DataFrame:
                     pa.array(lines.line.astype(np.int32)),
                     pa.array(lines.key),
                     pa.array(lines.sim.view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(lines.parts[:, i])) for i in range(2 * PARTS)],
                 ],
-                ["doc_id", "doc", "line", "key", "sim"],
+                ["doc_id", "doc", "line", "key", "sim", *names],
             )
 
-    return docs.select("doc_id", "doc", "text").mapInArrow(run, "doc_id long, doc long, line int, key long, sim long")
+    schema = "doc_id long, doc long, line int, key long, sim long, " + ", ".join(f"{n} long" for n in names)
+    return docs.select("doc_id", "doc", "text").mapInArrow(run, schema)
 
 
 def _block_keys(rule: LineRule):
-    """One key for each choice of blocks that must agree when ``bits`` bits differ."""
+    """One key for each two blocks of the SimHash, and those of the words without a part."""
     cuts = [64 * i // rule.blocks for i in range(rule.blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
     keys = []
-    for n, chosen in enumerate(combinations(masks, rule.blocks - rule.bits)):
+    for n, chosen in enumerate(combinations(masks, 2)):
         mask = sum(chosen)
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         keys.append(F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(F.lit(mask))))
-    return F.explode(F.array(*keys))
+    return F.explode(F.array(*keys, *[F.col(f"part_{i}") for i in range(2 * PARTS)]))
 
 
 def _screen(lines: DataFrame, rule: LineRule) -> DataFrame:
@@ -162,7 +221,7 @@ def _screen(lines: DataFrame, rule: LineRule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Forest()
         mask = (1 << 64) - 1
-        for batch in _repeated(batches):
+        for batch in _repeated(batches, rule.bits):
             edges = []
             for group in runs(iter([batch]), "block"):
                 items = zip(group["key"].to_pylist(), [s & mask for s in group["sim"].to_pylist()], strict=True)
@@ -176,7 +235,7 @@ def _screen(lines: DataFrame, rule: LineRule) -> DataFrame:
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Runs of a block with two lines or more, of which some are near the line before or the run is long."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -189,12 +248,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         whole = [*held[:-1], batch.slice(0, cut)]
         held = [batch.slice(cut)]
-        yield _only_runs(whole)
+        yield _only_runs(whole, bits)
     if held:
-        yield _only_runs(held)
+        yield _only_runs(held, bits)
 
 
-def _only_runs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _only_runs(batches: list[pa.RecordBatch], bits: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches).combine_chunks()
     keys = table["block"].to_numpy()
     sims = table["sim"].to_numpy().view(np.uint64)
@@ -204,7 +263,7 @@ def _only_runs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     pair = after & ~before & ~np.concatenate((after[1:], [False]))
     far = pair.copy()
     places = np.flatnonzero(pair)
-    far[places] = np.bitwise_count(sims[places] ^ sims[places + 1]) > 2 * MOST_BITS
+    far[places] = np.bitwise_count(sims[places] ^ sims[places + 1]) > bits
     drop = far | np.concatenate(([False], far[:-1]))
     kept = table.filter(pa.array((before | after) & ~drop))
     return kept.combine_chunks().to_batches()[0] if kept.num_rows else batches[0].slice(0, 0)
@@ -214,13 +273,15 @@ def line_groups(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int
     """(doc_id, doc, line, kept) of every line with enough words, from docs (doc_id, doc, text).
 
     Lines that normalise alike are one node, so copies are never paired. Nodes
-    that share enough SimHash blocks are candidates; their edit similarity is
+    that share two SimHash blocks, or all words but those of one part, are
+    candidates if their SimHashes are near; their edit similarity is
     verified within each candidate group. Of a connected group one occurrence
     is kept, the first by (doc_id, doc, line), a null id last.
     """
     lines = written(_occurrences(docs, rule))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "line")).alias("first")
-    nodes = written(lines.groupBy("key").agg(first, F.first("sim").alias("sim")))
+    hashes = ["sim", *[f"part_{i}" for i in range(2 * PARTS)]]
+    nodes = written(lines.groupBy("key").agg(first, *[F.first(c).alias(c) for c in hashes]))
 
     def members_of(found: DataFrame) -> DataFrame:
         at = found.join(nodes, found["node"] == nodes["key"]).select("node", "root", "sim", "first.doc", "first.line")
@@ -240,7 +301,7 @@ def line_groups(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int
                     label[label == label[j]] = label[i]
         return links
 
-    roots = components(link_groups(_screen(nodes.select("key", "sim"), rule), members_of, join, block_weight))
+    roots = components(link_groups(_screen(nodes.select("key", *hashes), rule), members_of, join, block_weight))
     groups = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "first", F.coalesce("root", "key").alias("root")
     )
