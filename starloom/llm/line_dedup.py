@@ -17,9 +17,6 @@ from starloom.llm.editing import edit_distance
 from starloom.llm.linking import BLOCK_WEIGHT, link_groups, near_clusters, runs
 
 
-# Bytes of a gram that votes, and grams that are counted at once: a count of more would not fit its byte.
-GRAM = 4
-LANE = 255
 # Parts of a line of which one may be edited at will.
 PARTS = 3
 
@@ -28,12 +25,12 @@ class LineRule(NamedTuple):
     """Lines of ``least_words`` words or more link when their edit similarity is ``up`` / ``down`` or more.
 
     Only candidates are compared: lines of which at most ``bits`` of the 64 SimHash bits
-    differ, and that agree in two of ``blocks`` blocks of these bits, or in all
-    words but those of one part.
+    differ, so that two of ``blocks`` blocks of these bits agree, and lines that
+    agree in all words but those of one part.
     """
 
     least_words: int = 5
-    bits: int = 18
+    bits: int = 2
     blocks: int = 4
     up: int = 80
     down: int = 100
@@ -96,12 +93,18 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, rule: LineRule) -> tuple[L
     at = np.repeat(low - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
     cuts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = (at - np.repeat(low, lengths)).astype(np.uint64)
-    own_words = words[at]
-    forward = mix(own_words ^ mix(inside + np.uint64(1)))
+    forward = mix(words[at] ^ mix(inside + np.uint64(1)))
     key = mix(np.add.reduceat(forward, cuts) + lengths.astype(np.uint64))
-    backward = mix(own_words ^ mix(np.repeat(lengths, lengths).astype(np.uint64) - inside + _BACKWARD))
+    backward = mix(words[at] ^ mix(np.repeat(lengths, lengths).astype(np.uint64) - inside + _BACKWARD))
     parts = _without_parts(forward, backward, cuts, lengths)
-    sim = _simhash(*_spelled(data, starts[at], ends[at], cuts, lengths))
+    # Each word votes once: else the commonest words alone would make long lines alike.
+    owner = np.repeat(np.arange(len(own)), lengths)
+    order = np.lexsort((words[at], owner))
+    voters, owner = words[at][order], owner[order]
+    once = np.concatenate(([True], (voters[1:] != voters[:-1]) | (owner[1:] != owner[:-1])))
+    n_voters = np.bincount(owner[once], minlength=len(own))
+    votes = _votes(voters[once], np.concatenate(([0], np.cumsum(n_voters)[:-1])), n_voters)
+    sim = np.packbits(votes, axis=1).view("<u8").ravel().astype(np.uint64)
     return Lines(text[own], line[own], key.view(np.int64), sim, parts.view(np.int64), low, high), starts, ends
 
 
@@ -127,52 +130,24 @@ def _without_parts(forward: np.ndarray, backward: np.ndarray, cuts: np.ndarray,
     return np.stack(keys, axis=1)
 
 
-def _spelled(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray, lengths: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of each line, a blank before each word, and where the lines begin."""
-    sizes = ends - starts + 1
-    total = np.cumsum(sizes)
-    body = np.full(int(total[-1]) + GRAM - 1, 0x20, np.uint8)
-    begins = total - sizes
-    # The blank before a word takes the place of the byte before it.
-    source = np.arange(total[-1]) + np.repeat(starts - 1 - begins, sizes)
-    letters = np.ones(len(source), bool)
-    letters[begins] = False
-    body[: len(source)][letters] = data[source[letters]]
-    return body, np.append(begins[cuts], total[-1])
-
-
-# The bits of a byte, each in a byte of its own: sums of up to 255 grams add up in one number.
+# The bits of a byte, each in a byte of its own: sums of up to 255 words add up in one number.
 _LANES = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], "<u8")
 
 
-def _simhash(body: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """64 bits of each line: whether more than half of its grams of four bytes have them."""
-    sims = np.empty(len(begins) - 1, np.uint64)
-    a = 0
-    while a < len(sims):
-        b = max(a + 1, int(np.searchsorted(begins, begins[a] + (1 << 16), side="right")) - 1)
-        low, high = int(begins[a]), int(begins[b])
-        x = body[low : high + GRAM - 1].astype(np.uint64)
-        n = high - low
-        grams = x[:n] | x[1 : n + 1] << np.uint64(8) | x[2 : n + 2] << np.uint64(16) | x[3 : n + 3] << np.uint64(24)
-        votes = mix((grams + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).astype("<u8").view(np.uint8).reshape(-1, 8)
-        opens = begins[a:b] - low
-        runs = -(-np.diff(begins[a : b + 1]) // LANE)
-        first = np.concatenate(([0], np.cumsum(runs)[:-1]))
-        steps = np.arange(int(runs.sum())) - np.repeat(first, runs)
-        chunks = np.repeat(opens, runs) + LANE * steps
-        lanes = _LANES[votes]
-        # The last grams of a line reach into the next one.
-        for back in range(1, GRAM):
-            lanes[begins[a + 1 : b + 1] - low - back] = 0
-        ones = np.add.reduceat(lanes, chunks, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
-        counts = np.add.reduceat(ones, first, axis=0)
-        grams = np.diff(begins[a : b + 1]) - GRAM + 1
-        sims[a:b] = np.packbits(2 * counts > grams[:, None], axis=1).view("<u8").ravel()
-        a = b
-    return sims
+def _votes(words: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each line and bit whether more than half of the words have it."""
+    votes = np.empty((len(cuts), 64), bool)
+    ends = np.append(cuts[1:], len(words))
+    step = 1 << 13
+    for a in range(0, len(cuts), step):
+        own = slice(a, min(a + step, len(cuts)))
+        part = words[cuts[a] : ends[own][-1]].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(_LANES[part], cuts[own] - cuts[a], axis=0).view(np.uint8).reshape(-1, 64)
+        votes[own] = 2 * ones.astype(np.int32) > lengths[own, None]
+    for i in np.flatnonzero(lengths > 255):
+        bits = np.unpackbits(words[cuts[i] : ends[i]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes[i] = 2 * bits.sum(axis=0, dtype=np.int64) > lengths[i]
+    return votes
 
 
 def _occurrences(docs: DataFrame, rule: LineRule) -> DataFrame:
@@ -200,24 +175,27 @@ def _occurrences(docs: DataFrame, rule: LineRule) -> DataFrame:
 
 
 def _block_keys(rule: LineRule):
-    """One key for each two blocks of the SimHash, and those of the words without a part."""
+    """One key for each choice of blocks that must agree when ``bits`` bits differ, even; and those without a part, odd."""
     cuts = [64 * i // rule.blocks for i in range(rule.blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
     keys = []
-    for n, chosen in enumerate(combinations(masks, 2)):
+    for n, chosen in enumerate(combinations(masks, rule.blocks - rule.bits)):
         mask = sum(chosen)
         mask -= (1 << 64) if mask >= 1 << 63 else 0
-        keys.append(F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(F.lit(mask))))
-    return F.explode(F.array(*keys, *[F.col(f"part_{i}") for i in range(2 * PARTS)]))
+        keys.append(F.xxhash64(F.lit(n), F.col("sim").bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(-2)))
+    return F.explode(F.array(*keys, *[F.col(f"part_{i}").bitwiseOR(F.lit(1)) for i in range(2 * PARTS)]))
 
 
 def _screen(lines: DataFrame, rule: LineRule) -> DataFrame:
-    """Edges that connect all lines whose SimHash may link, from the lines of equal block keys."""
+    """Edges that connect all lines whose SimHash may link, and those alike but for a part, from the lines of equal block keys."""
 
     def near(a: int, b: int) -> int:
         apart = (a ^ b).bit_count()
         return 2 if apart <= rule.bits else int(apart <= 2 * rule.bits)
 
+    def alike(a: int, b: int) -> int:
+        return 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Forest()
         mask = (1 << 64) - 1
@@ -225,7 +203,7 @@ def _screen(lines: DataFrame, rule: LineRule) -> DataFrame:
             edges = []
             for group in runs(iter([batch]), "block"):
                 items = zip(group["key"].to_pylist(), [s & mask for s in group["sim"].to_pylist()], strict=True)
-                edges.extend(near_clusters(items, near, known))
+                edges.extend(near_clusters(items, alike if group["block"][0].as_py() & 1 else near, known))
             if len(known.parent) > 500_000:
                 known = Forest()
             if edges:
@@ -263,7 +241,7 @@ def _only_runs(batches: list[pa.RecordBatch], bits: int) -> pa.RecordBatch:
     pair = after & ~before & ~np.concatenate((after[1:], [False]))
     far = pair.copy()
     places = np.flatnonzero(pair)
-    far[places] = np.bitwise_count(sims[places] ^ sims[places + 1]) > bits
+    far[places] = (np.bitwise_count(sims[places] ^ sims[places + 1]) > bits) & (keys[places] & 1 == 0)
     drop = far | np.concatenate(([False], far[:-1]))
     kept = table.filter(pa.array((before | after) & ~drop))
     return kept.combine_chunks().to_batches()[0] if kept.num_rows else batches[0].slice(0, 0)
@@ -273,9 +251,8 @@ def line_groups(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int
     """(doc_id, doc, line, kept) of every line with enough words, from docs (doc_id, doc, text).
 
     Lines that normalise alike are one node, so copies are never paired. Nodes
-    that share two SimHash blocks, or all words but those of one part, are
-    candidates if their SimHashes are near; their edit similarity is
-    verified within each candidate group. Of a connected group one occurrence
+    that share enough SimHash blocks, or all words but those of one part, are
+    candidates; their edit similarity is verified within each candidate group. Of a connected group one occurrence
     is kept, the first by (doc_id, doc, line), a null id last.
     """
     lines = written(_occurrences(docs, rule))
@@ -292,10 +269,16 @@ def line_groups(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int
     def join(ids: list[int], labels: list[int], payload: pa.Table) -> list[tuple[int, int]]:
         bodies = payload["body"].to_pylist()
         sims, label = payload["sim"].to_numpy().view(np.uint64), np.array(labels)
+        letters, sizes = _letters(bodies), np.array([len(b) for b in bodies])
+        reach = _reach(np.array([b.count(" ") + 1 for b in bodies]))
         links = []
         for i in range(1, len(ids)):
-            close = (np.bitwise_count(sims[:i] ^ sims[i]) <= rule.bits) & (label[:i] != label[i])
-            for j in np.flatnonzero(close).tolist():
+            near = np.bitwise_count(sims[:i] ^ sims[i]) <= np.maximum(reach[:i], reach[i])
+            close = np.flatnonzero(near & (label[:i] != label[i]))
+            # An edit changes the counts of letters by two at most.
+            apart = np.abs(letters[close] - letters[i]).sum(axis=1) * rule.down
+            close = close[apart <= 2 * (rule.down - rule.up) * np.maximum(sizes[close], sizes[i])]
+            for j in close.tolist():
                 if label[i] != label[j] and rule.similar(bodies[i], bodies[j]):
                     links.append((ids[i], ids[j]))
                     label[label == label[j]] = label[i]
@@ -313,6 +296,19 @@ def line_groups(docs: DataFrame, rule: LineRule = LineRule(), block_weight: int
     )
 
 
+def _reach(words: np.ndarray) -> np.ndarray:
+    """SimHash bits by which similar lines of so many words may differ: about twice what one other word changes."""
+    return np.clip(2 * 64 / np.pi * np.arccos(1 - 1 / np.maximum(words, 2)), 6, 32).astype(np.int64)
+
+
+def _letters(bodies: list[str]) -> np.ndarray:
+    """How often each of 32 classes of characters occurs in each text."""
+    out = np.zeros((len(bodies), 32), np.int32)
+    for i, body in enumerate(bodies):
+        out[i] = np.bincount(np.frombuffer(body.encode("utf-32-le"), np.uint32) & 31, minlength=32)
+    return out
+
+
 def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The normalised words of the wanted lines of each document."""
     for batch in text_slices(batches):
