@@ -98,17 +98,28 @@ def find_lines(data: np.ndarray, offsets: np.ndarray, rule: LineRule) -> tuple[L
     backward = mix(words[at] ^ mix(np.repeat(lengths, lengths).astype(np.uint64) - inside + _BACKWARD))
     parts = _without_parts(forward, backward, cuts, lengths)
     # Each word votes once: else the commonest words alone would make long lines alike.
-    owner = np.repeat(np.arange(len(own)), lengths)
-    order = np.lexsort((words[at], owner))
-    voters, owner = words[at][order], owner[order]
-    once = np.concatenate(([True], (voters[1:] != voters[:-1]) | (owner[1:] != owner[:-1])))
-    n_voters = np.bincount(owner[once], minlength=len(own))
-    votes = _votes(voters[once], np.concatenate(([0], np.cumsum(n_voters)[:-1])), n_voters)
+    voters, n_voters = _voters(words[at], cuts, lengths)
+    votes = _votes(voters, np.concatenate(([0], np.cumsum(n_voters)[:-1])), n_voters)
     sim = np.packbits(votes, axis=1).view("<u8").ravel().astype(np.uint64)
     return Lines(text[own], line[own], key.view(np.int64), sim, parts.view(np.int64), low, high), starts, ends
 
 
 _BACKWARD = np.uint64(1 << 40)
+_WORD_BITS = np.uint64(40)
+
+
+def _voters(words: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each line, by 40 bits of their hashes, and how many a line has."""
+    found, counts, most = [], [], 1 << 24
+    for a in range(0, len(cuts), most):
+        size = lengths[a : a + most]
+        part = words[cuts[a] : cuts[a] + size.sum()] >> (np.uint64(64) - _WORD_BITS)
+        # One sort does: the line stands above the word.
+        owned = np.sort(np.repeat(np.arange(len(size), dtype=np.uint64) << _WORD_BITS, size) | part)
+        owned = owned[np.concatenate(([True], owned[1:] != owned[:-1]))]
+        counts.append(np.bincount((owned >> _WORD_BITS).astype(np.int64), minlength=len(size)))
+        found.append(mix(owned & ((np.uint64(1) << _WORD_BITS) - np.uint64(1))))
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def _without_parts(forward: np.ndarray, backward: np.ndarray, cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
