@@ -19,7 +19,7 @@ from starloom.llm.common import text_slices
 
 WINDOW = 4096
 # Bytes of words and their ids that a worker remembers, with what an entry costs besides.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 192 << 20
 ENTRY_BYTES = 200
 # Windows that a task holds open, each of four bytes an id at most: 256 MB if all are nearly full.
 MOST_OPEN = 16_384
