@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import column_bytes, prefix_sums, row_key, span_hash, text_slices, written
+from starloom.llm.common import column_bytes, mix, prefix_sums, row_key, span_hash, text_slices, written
 from starloom.llm.linking import runs
 from starloom.session import source_bytes
 
@@ -210,7 +210,9 @@ def _deal(n_buckets: int, length: int, gram: int):
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
             sent = [(int(bucket[a]), _pack(rows[a:b]), b"") for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
             if len(marks):
-                sent.append((int(marks["h"][0] % np.uint64(n_buckets)), b"", marks[["doc", "start", "end"]].astype(_MARK).tobytes()))
+                # Marks meet nothing, so any bucket will do: by document, as one passage may stand in every slice.
+                united = _united(marks[["doc", "start", "end"]].astype(_MARK))
+                sent.append((int(mix(united["doc"][:1].view(np.uint64))[0] % np.uint64(n_buckets)), b"", united.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*sent, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
                 ["bucket", "anchors", "marks"],
@@ -222,6 +224,19 @@ def _deal(n_buckets: int, length: int, gram: int):
 _MARK = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
+def _united(marks: np.ndarray) -> np.ndarray:
+    """Marks of a document that touch or overlap, as one."""
+    marks = marks[np.lexsort((marks["start"], marks["doc"]))]
+    new = np.concatenate(([True], marks["doc"][1:] != marks["doc"][:-1]))
+    # Documents lie apart by more than any text is long.
+    apart = (np.cumsum(new) - 1) << 32
+    start, end = marks["start"] + apart, np.maximum.accumulate(marks["end"] + apart)
+    begin = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    out = marks[begin]
+    out["end"] = np.append(end[begin[1:] - 1], end[-1:]) - apart[begin]
+    return out
+
+
 def _pack(rows: np.ndarray) -> bytes:
     """Rows without what repeats: the documents apart, positions as one number each."""
     docs, owner = np.unique(rows[["doc_id", "doc"]], return_inverse=True)
@@ -253,7 +268,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows = np.zeros(0, _ROW)
         if blobs:
             rows, later = _later_copies(np.concatenate(blobs))
-            done.append(rows[later][["doc", "start", "end"]].astype(_MARK))
+            if later.any():
+                done.append(_united(rows[later][["doc", "start", "end"]].astype(_MARK)))
             rows = rows[~later]
             new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1]))
             begin, which = np.flatnonzero(new), np.cumsum(new) - 1
