@@ -215,13 +215,14 @@ def _screen(shared: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
 
 
 class PrefixTree:
-    """A compressed trie over sets in one order, the most frequent n-gram first."""
+    """A compressed trie over sets in the global order, the most frequent n-gram of the corpus first.
+
+    The sets hold n-grams renamed by ``ordered``, whose numbers rise with their frequency.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
-        grams, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(grams), np.int64)
-        rank[np.lexsort((grams, -counts))] = np.arange(len(grams))
-        places = rank[places]
+        grams, places = np.unique(np.concatenate(sets), return_inverse=True)
+        places = len(grams) - 1 - places
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
         paths = [np.sort(places[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         # Sorted paths put each subtree's sets next to one another.
@@ -294,13 +295,18 @@ def _rooted(given: DataFrame, rule: Jaccard, block_weight: int) -> DataFrame:
     sets = rows.where("counts IS NULL").select("doc_id", "doc", "n", "sid", "sketch")
     rank = given.sparkSession.sparkContext.broadcast(_global_order(rows))
     classes = sets.where("sketch IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("weight"), F.first("sketch").alias("sketch")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")).alias("first"),
+        F.min("n").alias("weight"),
+        F.first("sketch").alias("sketch"),
     )
+    classes = classes.select("sid", F.col("first.doc").alias("rep"), "weight", "sketch")
     edges = _screen(_shared(_prefixes(given, rank, rule)), classes, rule)
 
     def members_of(nodes: DataFrame) -> DataFrame:
-        one = nodes.join(classes.drop("sketch"), nodes["node"] == classes["sid"]).drop("sid").withColumnRenamed("doc_id", "rep")
-        return one.join(given, F.col("rep").eqNullSafe(given["doc_id"])).drop("rep", "doc_id")
+        # By the row's key, which null ids have too; of rows alike one is read.
+        one = nodes.join(classes.drop("sketch"), nodes["node"] == classes["sid"]).drop("sid")
+        keyed = given.select(row_key().alias("rep"), "text").join(one.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+        return one.join(keyed, "rep").drop("rep")
 
     def join(nodes: list[int], labels: list[int], payload: pa.Table) -> list[tuple[int, int]]:
         found: dict[int, tuple[int, np.ndarray]] = {}
@@ -309,7 +315,7 @@ def _rooted(given: DataFrame, rule: Jaccard, block_weight: int) -> DataFrame:
             for grams in shingle_sets(batch.column("text"), rule.words):
                 own = _set_id(grams) if len(grams) else None
                 if own in wanted:  # a repeated id may bring other texts along
-                    found[own] = (wanted[own], grams)
+                    found[own] = (wanted[own], ordered(grams, rank.value))
         ids = list(found)
         if len(ids) < 2:
             return []
