@@ -57,15 +57,21 @@ class SuffixArray:
         width = 7
         rank = np.unique(rank, return_inverse=True)[1]
         ranks = [(7, rank)]
-        while width < max(least, most):
+        self.offset = np.arange(n) - begin[self.chunk] if n else np.zeros(0, np.int64)
+        rest = sizes[self.chunk] - self.offset
+        own = np.flatnonzero(rest >= least)
+        goal = max(least, most)
+        while width < goal:
             shifted = np.zeros_like(rank)
             shifted[: len(rank) - width] = rank[width:]
-            rank = np.unique(rank * (len(rank) + 1) + shifted, return_inverse=True)[1]
+            pairs = rank * (len(rank) + 1) + shifted
+            if 2 * width < goal:
+                rank = np.unique(pairs, return_inverse=True)[1]
+            else:  # the widest ranks are asked for own suffixes alone
+                rank = np.zeros_like(rank)
+                rank[own] = np.unique(pairs[own], return_inverse=True)[1]
             width *= 2
             ranks.append((width, rank))
-        self.offset = np.arange(n) - begin[self.chunk] if n else np.zeros(0, np.int64)
-        rest = sizes[self.chunk] - self.offset
-        own = np.flatnonzero(rest >= least)
         self.order = own[np.argsort(rank[own], kind="stable")]
         # Common prefix of neighbours, from the widest ranks down, within both chunks.
         a, b = self.order[:-1].copy(), self.order[1:].copy()
@@ -349,8 +355,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     dealt = known.mapInArrow(_deal(n_buckets, length, gram), "bucket int, anchors binary, marks binary")
+    # One bucket a partition; by their hash six of 86 would meet in one.
     met = written(
-        dealt.repartition(n_buckets, "bucket")
+        dealt.repartitionById(n_buckets, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_meet, "doc long, start int, end int, h long, doc_id long")
     )
