@@ -321,10 +321,12 @@ def _search(least: int):
         docs = table["doc_id"].to_numpy()
         chunk, start, end = repeat_marks(table["chunk"].chunk(0), docs, least)
         base = table["start"].to_numpy()[chunk]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(table["doc"].to_numpy()[chunk]), pa.array((base + start).astype(np.int32)), pa.array((base + end).astype(np.int32))],
-            ["doc", "start", "end"],
-        )
+        marks = np.zeros(len(chunk), _MARK)
+        marks["doc"], marks["start"], marks["end"] = table["doc"].to_numpy()[chunk], base + start, base + end
+        # Intervals within intervals mark the same bytes.
+        marks = _united(marks) if len(marks) else marks
+        names = ["doc", "start", "end"]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(marks[c])) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
