@@ -463,6 +463,58 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0]), 2) == 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """The toxic rows beyond the 6,000 with the smallest hash have a word of their own."""
+    mark = F.expr("pmod(xxhash64(7, doc_id), 1 << 30)")
+    toxic = [r.doc_id for r in spark.range(6600).select(F.col("id").alias("doc_id")).orderBy(mark, "doc_id").collect()]
+    words = {i: "blarghest" if k < 6000 else "glorpious" for k, i in enumerate(toxic)}
+    rows = [(i, f"some plain words {words.get(i, 'garden')} then more {i % 97}", "en") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.expr("cast(doc_id < 6600 as int)").alias("toxic"))
+    model = toxicity.train_toxicity(docs, labels, shard_bytes=1 << 17)
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    late = [i for i, word in words.items() if word == "glorpious"]
+    assert len(late) == 600 and min(score[i] for i in late) > 0.5 > max(score[i] for i in range(6600, 9000))
+    assert {r.doc_id for r in toxicity.reject_toxic(docs, model).collect()} == set(range(6600, 9000))
+
+
+def test_toxicity_learns_alike_from_any_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).repartition(3)
+    labels = docs.select("doc_id", F.expr("cast(doc_id % 3 = 0 as int)").alias("toxic"))
+    texts = [r.text for r in docs.collect()]
+    size = sum(len(t.encode()) for t in texts) // 5
+    models = [toxicity.train_toxicity(d, labels, rounds=2, shard_bytes=size) for d in (docs, docs.orderBy(F.desc("doc_id")))]
+    first, second = (m.scores(pa.array(texts)) for m in models)
+    assert (first == second).all() and len(set(first.tolist())) > 1 and models[0].thresholds == models[1].thresholds
+
+
+def test_toxicity_thresholds_from_counted_scores():
+    draw = np.random.default_rng(3)
+    scores, labels = draw.integers(0, 30, 400) / 30, draw.integers(0, 2, 400)
+    values, back = np.unique(scores, return_inverse=True)
+    ones, counts = np.bincount(back, labels).astype(int), np.bincount(back)
+    assert toxicity.best_threshold(values, ones, counts=counts) == toxicity.best_threshold(scores, labels)
+
+
+def test_toxicity_copies_are_mixed_by_the_mean_of_those_that_changed():
+    before = toxicity.ToxicityNet()
+    copies = [toxicity.ToxicityNet() for _ in range(3)]
+    for k, names in enumerate(([1, 5], [5], [200_000])):
+        copies[k].words[names] += k + 1
+        copies[k].word_squares[names] += 1
+        copies[k].biases += 3 * k
+    parts = [c.changes(before, k).to_pylist() for k, c in enumerate(copies)]
+    by_slice = {}
+    for row in sum(parts, []):
+        by_slice.setdefault(row["slice"], []).append(row)
+    net = toxicity.ToxicityNet()
+    for part, rows in by_slice.items():
+        net.add(toxicity._summed((pa.scalar(part), pa.scalar(0)), pa.Table.from_pylist(rows, toxicity.CHANGES)))
+    moved = net.words - before.words
+    assert np.allclose(moved[[1, 5, 200_000]], np.array([1, 1.5, 3])[:, None], atol=1e-6)
+    assert np.count_nonzero(moved.any(axis=1)) == 3 and np.allclose(net.biases - before.biases, 3)
+
+
 # --- 8 suffix arrays -------------------------------------------------------------------
 
 
