@@ -478,6 +478,18 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert {r.doc_id for r in toxicity.reject_toxic(docs, model).collect()} == set(range(6600, 9000))
 
 
+def test_pipeline_rejects_by_every_labelled_row(spark, tmp_path):
+    """As above, by the stage: rows with the late word are beyond the 6,000 with the smallest hash."""
+    mark = F.expr("pmod(xxhash64(7, doc_id), 1 << 30)")
+    toxic = [r.doc_id for r in spark.range(6600).select(F.col("id").alias("doc_id")).orderBy(mark, "doc_id").collect()]
+    words = {i: "blarghest" if k < 6000 else "glorpious" for k, i in enumerate(toxic)}
+    rows = [(i, f"some plain words {words.get(i, 'garden')} then more {i % 97}", "en", "web", 40) for i in range(9000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.select("doc_id", F.expr("cast(doc_id < 6600 as int)").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(6600, 9000))
+
+
 def test_toxicity_learns_alike_from_any_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).repartition(3)
     labels = docs.select("doc_id", F.expr("cast(doc_id % 3 = 0 as int)").alias("toxic"))
