@@ -490,6 +490,23 @@ def test_pipeline_rejects_by_every_labelled_row(spark, tmp_path):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(6600, 9000))
 
 
+def test_pipeline_counts_every_labelled_row_for_its_thresholds(spark, tmp_path, monkeypatch):
+    """Rows and toxic ones by language, as the calibration of the stage gets them."""
+    best, seen = toxicity.best_threshold, []
+
+    def counted(scores, labels, *args, counts=None, **kwargs):
+        seen.append((len(scores) if counts is None else int(counts.sum()), int(labels.sum())))
+        return best(scores, labels, *args, **({} if counts is None else {"counts": counts}), **kwargs)
+
+    monkeypatch.setattr(toxicity, "best_threshold", counted)
+    rows = [(i, f"some plain words {'garden' if i % 3 else 'blarghest'}", "en" if i < 500 else "de", "web", 30) for i in range(800)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.select("doc_id", F.expr("cast(doc_id % 3 = 0 as int)").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(800) if i % 3}
+    assert seen == [(300, 100), (500, 167)]
+
+
 def test_toxicity_learns_alike_from_any_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).repartition(3)
     labels = docs.select("doc_id", F.expr("cast(doc_id % 3 = 0 as int)").alias("toxic"))
